@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from marketloom.session import materialize
 
-_BLANKS = " \t\r\n\u000b\u000c   "
+#: Blanks that are trimmed.
+BLANKS = " \t\r\n\u000b\u000c\u00a0\u2007\u202f\u3000"
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,12 @@ def blocks(text: Column, how: Packing) -> Column:
         text = F.regexp_replace(text, r"^\s*\[(.*)\]\s*$", "$1")
     # A quote that never closes is an ordinary character. Possessive, so that long texts need no stack.
     found = F.regexp_extract_all(text, F.lit(f'((?:"(?:[^"]++|"")*+"|[^"{_any(how.hard)}]++|")++)'), 1)
-    return F.filter(F.transform(found, lambda b: F.btrim(b, F.lit(_BLANKS))), lambda b: b != "")
+    return F.filter(F.transform(found, lambda b: F.btrim(b, F.lit(BLANKS))), lambda b: b != "")
 
 
 def unquoted(value: Column) -> Column:
     """A value wholly in double quotes without them, its doubled quotes single; any other as it is."""
-    inner = F.btrim(F.replace(F.substring(value, 2, F.length(value) - 2), F.lit('""'), F.lit('"')), F.lit(_BLANKS))
+    inner = F.btrim(F.replace(F.substring(value, 2, F.length(value) - 2), F.lit('""'), F.lit('"')), F.lit(BLANKS))
     whole = value.startswith('"') & value.endswith('"') & (F.length(value) > 1)
     return F.when(whole, F.when(value.rlike(r'^"(?:[^"]++|"")*+"$'), inner).otherwise(value)).otherwise(value)
 
@@ -69,7 +70,7 @@ def unquoted(value: Column) -> Column:
 def _is_doubtful(block: Column, how: Packing) -> Column:
     if not how.soft:
         return F.lit(False)
-    soft = _any(how.soft.replace(" ", _BLANKS))
+    soft = _any(how.soft.replace(" ", BLANKS))
     return block.rlike(rf'^(?:"(?:[^"]++|"")*+"|[^"{soft}]++|")*+[{soft}]')
 
 
@@ -79,15 +80,15 @@ def _any_doubtful(found: Column, how: Packing) -> Column:
 
 def _atoms(block: str, how: Packing) -> tuple[list[str], list[str]]:
     """Atoms of a block, and the doubtful separators between them."""
-    soft = _any(how.soft.replace(" ", _BLANKS))
+    soft = _any(how.soft.replace(" ", BLANKS))
     parts = re.findall(rf'(?:"(?:[^"]|"")*"|[^"{soft}]|")+|[{soft}]+', block)
     atoms, between = [], []
     for part in parts:
-        if part.strip(how.soft + _BLANKS) == "":
+        if part.strip(how.soft + BLANKS) == "":
             if atoms and len(between) < len(atoms):
                 between.append(part)
         else:
-            atoms.append(part.strip(_BLANKS))
+            atoms.append(part.strip(BLANKS))
     return atoms, between[: len(atoms) - 1]
 
 
@@ -200,7 +201,7 @@ def split_packed(rows: DataFrame, how: dict[str, Packing]) -> DataFrame:
         parsed = F.when(F.col("kind") == kind, blocks(F.col("text"), packing)).otherwise(parsed)
         if packing.soft:
             doubtful = doubtful | ((F.col("kind") == kind) & _any_doubtful(F.col("blocks"), packing))
-    found = rows.where(F.length(F.btrim("text", F.lit(_BLANKS))) > 0).select("kind", "record_id", parsed.alias("blocks")).where(F.size("blocks") > 0)
+    found = rows.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("kind", "record_id", parsed.alias("blocks")).where(F.size("blocks") > 0)
     certain = found.where(~doubtful).select("kind", "record_id", F.col("blocks").alias("values"))
     if any(packing.soft for packing in how.values()):
         known = segment_doubtful(found, how)

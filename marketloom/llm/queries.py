@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.canonical import map_to_reference
 from marketloom.llm.duplicates import duplicate_groups
 from marketloom.llm.leakage import leaked_passages
 from marketloom.llm.tokens import encode_corpus
-from marketloom.operators.packed import HEADING_PATH
+from marketloom.operators.packed import BLANKS, HEADING_PATH
 from marketloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each typed market title and family with the entry of the reference list that it means, or 0."""
+    entries = table(spark, sf_dir, "canon_reference")
+    verbatim = F.broadcast(entries.select("kind", F.col("canonical_value").alias("text")).distinct())  # part of the fixed reference list
+    parts = (("headerless_rows", "obs_id", "market", "MARKET"), ("odd_records", "odd_id", "family", "FAMILY"))
+    typed = None
+    for name, key, field, kind in parts:
+        part = table(spark, sf_dir, name).select(F.lit(field).alias("field_name"), F.col(key).alias("record_id"), F.lit(kind).alias("kind"), F.col(field).alias("text"))
+        typed = part if typed is None else typed.unionByName(part)
+    typed = typed.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).join(verbatim, ["kind", "text"], "left_anti")
+    labels = entries.select("kind", "ref_id", F.explode(F.array("canonical_value", "label_pl", "label_en")).alias("label"))
+    return typed.join(map_to_reference(typed, labels), ["kind", "text"]).select("field_name", "record_id", "ref_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each surplus copy of a quote with the least obs_id of its group."""
     pairs = duplicate_groups(table(spark, sf_dir, "headerless_rows"), "obs_id", "run_id", ["market", "selection"], ["odds"], {"heading_path": HEADING_PATH})
@@ -38,4 +53,4 @@ def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("consistent and not verbatim").select("doc_id", "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.canonical import map_to_reference
 from marketloom.llm.duplicates import duplicate_groups
 from marketloom.llm.leakage import leaked_passages
+from marketloom.llm.mojibake import restored_texts
 from marketloom.llm.tokens import encode_corpus
 from marketloom.operators.packed import BLANKS, HEADING_PATH
 from marketloom.session import table
@@ -53,4 +54,10 @@ def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("consistent and not verbatim").select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with the MD5 of the restored text, empty where characters are lost for good."""
+    found = restored_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found}

@@ -9,11 +9,30 @@ from marketloom.llm.canonical import map_to_reference
 from marketloom.llm.duplicates import duplicate_groups
 from marketloom.llm.leakage import leaked_passages
 from marketloom.llm.mojibake import restored_texts
+from marketloom.llm.names import link_names, linked_pairs
 from marketloom.llm.tokens import encode_corpus
 from marketloom.operators.packed import BLANKS, HEADING_PATH
 from marketloom.session import table
 
 
+def _named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "native_short_names").select(F.col("name_id").alias("record"), F.col("run_id").alias("run"), F.array("full_name", "short_name").alias("names"), F.lit(False).alias("scorer"))
+    scorers = table(spark, sf_dir, "headerless_rows").where("tab_name = 'Strzelcy' and selection is not null")
+    return typed.unionByName(scorers.select(F.col("obs_id").alias("record"), F.col("run_id").alias("run"), F.array("selection").alias("names"), F.lit(True).alias("scorer")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of records that name the same player or club."""
+    return linked_pairs(link_names(_named_records(spark, sf_dir)))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with the class of its name and the number of records that it is linked to."""
+    classes = link_names(_named_records(spark, sf_dir))
+    sizes = classes.groupBy("name_class").agg((F.count("*") - 1).alias("links"))
+    return classes.join(sizes, "name_class").select("record", "name_class", "links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each typed market title and family with the entry of the reference list that it means, or 0."""
     entries = table(spark, sf_dir, "canon_reference")
@@ -60,4 +79,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found}

@@ -1,0 +1,60 @@
+"""Canonical JSON and its hashes: equal values have equal bytes, whatever their key order and Unicode form."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normal_form(value):
+    """The value with normal texts and keys in order. Raises ValueError for NaN, infinities and keys that collide."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFC", value)
+    if isinstance(value, float) and not math.isfinite(value):
+        raise ValueError("a number that is not finite has no canonical form")
+    if isinstance(value, dict):
+        keys = [unicodedata.normalize("NFC", k) for k in value]
+        if len(set(keys)) < len(keys):
+            raise ValueError("two keys have one normal form")
+        return {k: normal_form(v) for k, v in sorted(zip(keys, value.values(), strict=True))}
+    return [normal_form(v) for v in value] if isinstance(value, list) else value
+
+
+def canonical_json(value) -> bytes:
+    """Compact UTF-8 JSON of the normal form."""
+    return json.dumps(normal_form(value), ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode()
+
+
+@F.pandas_udf("string")
+def canonical_sha256(texts: pd.Series) -> pd.Series:
+    """SHA-256 of the canonical form of a JSON text; null for null, for what is no JSON and for what has no form."""
+
+    def digest(text: str | None) -> str | None:
+        try:
+            return hashlib.sha256(canonical_json(json.loads(text))).hexdigest()
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(digest)
+
+
+def struct_sha256(*columns: str) -> Column:
+    """SHA-256 of columns by name, nulls and all, in the order of their names."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def is_sha256(text: Column) -> Column:
+    """Whether a text is 64 lower-case hex digits."""
+    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def sources_sha256(names: Column, digests: Column) -> Column:
+    """One digest of named digests (arrays of equal length), whatever their order."""
+    lines = F.zip_with(names, digests, lambda n, d: F.concat(n, F.lit("\u0000"), d, F.lit("\n")))
+    return F.sha2(F.array_join(F.array_sort(lines), ""), 256)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.plans import data_quality
+from marketloom.plans import captures, data_quality, relational
 
-QUERIES = {**data_quality.QUERIES}
-ORACLES = {**data_quality.ORACLES}
-flagship = data_quality.p6_found
+QUERIES = {**data_quality.QUERIES, **relational.QUERIES, **captures.QUERIES}
+ORACLES = {**data_quality.ORACLES, **relational.ORACLES, **captures.ORACLES}
+flagship = relational.fair_market_power

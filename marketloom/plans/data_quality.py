@@ -71,4 +71,46 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; time zone rules cannot be counted on there.
+ORACLES: dict[str, str] = {
+    "p5_found": r"""
+WITH t AS (
+  SELECT 'heading_path' AS field_name, obs_id AS record_id, regexp_extract_all(heading_path, '((?:"(?:[^"]|"")*"|[^">»→|;])+)', 1) AS parts FROM headerless_rows
+  UNION ALL SELECT 'dom_path', obs_id, regexp_extract_all(dom_path, '((?:"(?:[^"]|"")*"|[^">|/])+)', 1) FROM headerless_rows
+  UNION ALL SELECT 'source_raw_record_ids', odd_id, regexp_extract_all(regexp_replace(source_raw_record_ids, '^\s*\[(.*)\]\s*$', '\1'), '((?:"(?:[^"]|"")*"|[^",;|\s])+)', 1) FROM odd_records),
+e AS (SELECT field_name, record_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM t),
+u AS (SELECT field_name, record_id, i, CASE WHEN regexp_full_match(trim(part), '"(?:[^"]|"")*"') THEN trim(replace(substr(trim(part), 2, length(trim(part)) - 2), '""', '"')) ELSE trim(part) END AS piece FROM e)
+SELECT DISTINCT field_name, record_id, CAST(ROW_NUMBER() OVER (PARTITION BY field_name, record_id ORDER BY i) AS INTEGER) AS pos, piece FROM u WHERE piece <> ''""",
+    "p6_found": """
+WITH s AS (SELECT DISTINCT snapshot_no FROM odd_records WHERE snapshot_no IS NOT NULL),
+n AS (SELECT snapshot_no AS no, LAG(snapshot_no) OVER (ORDER BY snapshot_no) AS prev FROM s),
+r AS (SELECT snapshot_no, event_id, market_instance, selection, MIN(odds) AS odds FROM odd_records GROUP BY ALL),
+c AS (SELECT n.prev, n.no, r.* FROM r JOIN n ON r.snapshot_no = n.no WHERE n.prev IS NOT NULL),
+p AS (SELECT n.prev, n.no, r.* FROM r JOIN n ON r.snapshot_no = n.prev)
+SELECT coalesce(c.prev, p.prev) AS prev_snapshot_no, coalesce(c.no, p.no) AS snapshot_no, coalesce(c.event_id, p.event_id) AS event_id,
+  coalesce(c.market_instance, p.market_instance) AS market_instance, coalesce(c.selection, p.selection) AS selection,
+  CASE WHEN p.no IS NULL THEN 'added' WHEN c.no IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM c FULL OUTER JOIN p ON c.no = p.no AND c.event_id = p.event_id AND c.market_instance = p.market_instance AND c.selection = p.selection
+WHERE p.no IS NULL OR c.no IS NULL OR c.odds IS DISTINCT FROM p.odds""",
+    "p7_found": r"""
+WITH raw AS (SELECT DISTINCT packet_id, f, t FROM (SELECT packet_id, 'fm' AS f, fair_markets AS t FROM context_packets UNION ALL SELECT packet_id, 'mg', market_graph FROM context_packets UNION ALL SELECT packet_id, 'qr', quarantined_rows FROM context_packets)),
+once AS (SELECT packet_id, f, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END END AS t FROM raw),
+j AS (SELECT packet_id, f, CAST(t AS JSON) AS t FROM once WHERE json_valid(t)),
+arr AS (SELECT packet_id, f, json_extract(t, '$[*]') AS items FROM j WHERE f <> 'mg'),
+it AS (SELECT packet_id, f, unnest(items) AS x, generate_subscripts(items, 1) - 1 AS pos FROM arr),
+nodes AS (SELECT packet_id, json_extract(t, '$.nodes[*]') AS items FROM j WHERE f = 'mg'),
+rels AS (SELECT packet_id, json_extract(t, '$.relations[*]') AS items FROM j WHERE f = 'mg'),
+rel AS (SELECT packet_id, unnest(items) AS x, generate_subscripts(items, 1) - 1 AS pos FROM rels),
+reason AS (SELECT packet_id, pos, CASE WHEN json_type(x, '$.reasons') = 'VARCHAR' THEN [json_extract_string(x, '$.reasons')] ELSE json_extract_string(x, '$.reasons[*]') END AS items FROM it WHERE f = 'qr'),
+o AS (
+SELECT packet_id, 'fair_market' AS child_kind, -1 AS parent_pos, pos, json_extract_string(x, '$.key') AS item_key FROM it WHERE f = 'fm'
+UNION ALL SELECT packet_id, 'fair_selection', pos, -1, unnest(json_keys(x, '$.selections')) FROM it WHERE f = 'fm' AND json_type(x, '$.selections') = 'OBJECT'
+UNION ALL SELECT packet_id, 'fair_selection', pos, -1, unnest(json_extract_string(x, '$.selections[*].name')) FROM it WHERE f = 'fm' AND json_type(x, '$.selections') = 'ARRAY'
+UNION ALL SELECT packet_id, 'graph_node', -1, generate_subscripts(items, 1) - 1, json_extract_string(unnest(items), '$.id') FROM nodes
+UNION ALL SELECT packet_id, 'relation', -1, pos, json_extract_string(x, '$.type') FROM rel
+UNION ALL SELECT packet_id, 'relation_node', pos, generate_subscripts(json_extract(x, '$.nodes[*]'), 1) - 1, unnest(json_extract_string(x, '$.nodes[*]')) FROM rel
+UNION ALL SELECT packet_id, 'quarantined_row', -1, pos, json_extract_string(x, '$.source_record_id') FROM it WHERE f = 'qr'
+UNION ALL SELECT packet_id, 'quarantine_reason', pos, generate_subscripts(items, 1) - 1, unnest(items) FROM reason
+UNION ALL SELECT packet_id, 'original_field', pos, -1, unnest(json_keys(x, '$.original_fields')) FROM it WHERE f = 'qr' AND json_type(x, '$.original_fields') = 'OBJECT')
+SELECT DISTINCT packet_id, child_kind, CAST(parent_pos AS INTEGER) AS parent_pos, CAST(pos AS INTEGER) AS pos, item_key FROM o""",
+}

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normal_form(value):
@@ -31,7 +32,7 @@ def canonical_json(value) -> bytes:
     return json.dumps(normal_form(value), ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_sha256(texts: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of a JSON text; null for null, for what is no JSON and for what has no form."""
 

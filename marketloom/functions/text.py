@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_folded(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII, case folded, blanks collapsed: ``ł`` vanishes. Null is empty."""
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().casefold().split()))

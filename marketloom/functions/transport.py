@@ -69,7 +69,8 @@ def varint_field(message: bytes, field: int) -> int | None:
             elif tag & 7 in (1, 5):
                 at += 8 if tag & 7 == 1 else 4
             elif tag & 7 == 2:
-                at += read()
+                size = read()  # moves the place itself
+                at += size
             else:
                 return None
             if at > len(message):

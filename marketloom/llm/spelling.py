@@ -56,15 +56,21 @@ def deletions(word: Column, two: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, twice))
 
 
+#: Letters from which a word is near to itself only: its deletions would be too many, and no name is so long.
+LONGEST = 64
+
+
 def near_pairs(left: DataFrame, right: DataFrame, word: str, block: str, two_from: int = 8) -> DataFrame:
     """(block, a, b, edits) of the words of ``left`` and ``right`` that are near: at most one edit apart, or two
     from ``two_from`` letters on. Both sides: distinct (block, word). They meet in the index of deletions, by
-    the hash of block and deletion, so that no list of words is compared with another.
+    the hash of block and deletion, so that no list of words is compared with another. Words of ``LONGEST``
+    letters or more are near to themselves only.
     """
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         w = F.col(word)
-        key = F.explode(deletions(w, F.char_length(w) >= two_from)).alias("d")
+        short = F.char_length(w) < LONGEST
+        key = F.explode(F.when(short, deletions(w, F.char_length(w) >= two_from)).otherwise(F.array(w))).alias("d")
         return df.select(block, w.alias(name), key).select(block, name, F.xxhash64(block, "d").alias("d"))
 
     met = keyed(left, "a").join(keyed(right, "b"), [block, "d"]).select(block, "a", "b").distinct()

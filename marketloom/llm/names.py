@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.spelling import fold, near_pairs, osa
+from marketloom.llm.spelling import fold, folded, near_pairs, osa
 from marketloom.session import materialize
 
 # Given names, folded, and their short forms.
@@ -48,7 +48,9 @@ SIDES = {
     "women": "k", "ladies": "k", "frauen": "k", "femenino": "k",
 } | {f"u{n}": f"u{n}" for n in range(14, 24)}
 # Words about scoring that may follow a player's name.
-_SCORING = re.compile(r"\s+(?:trafi|strzeli|zdobedzie|strzelcem|zdobywa|to score|scores|will score|anytime|marca|marcara|trifft)\b.*$")
+_SCORING = re.compile(r"\s+(?:trafi|strzeli|zdobędzie|zdobedzie|strzelcem|zdobywa|to score|scores|will score|anytime|marca|marcara|trifft)\b.*$")
+# Given names of which the initial has a mark, and the initial.
+MARKED_INITIALS = {"emile": "é", "oscar": "ó"}
 #: Runs (of one capture each) that attest a spelling well.
 ATTESTED = 3
 #: Most records of one name that are paired in one piece.
@@ -91,8 +93,8 @@ def _is_club_word(token: str) -> bool:
 
 
 def cleaned(text: str) -> str:
-    """Folded name without the marks and brackets around all of it, and without words about scoring."""
-    out = re.sub(r"\s+", " ", fold(text)).strip(_EDGES)
+    """Name in lower case without the marks and brackets around all of it, and without words about scoring."""
+    out = re.sub(r"\s+", " ", text.lower()).strip(_EDGES)
     while len(out) > 2 and (out[0], out[-1]) in (("[", "]"), ("(", ")")) and not re.search(r"[\[\]()]", out[1:-1].replace("(", "", 1).replace(")", "", 1) if out[0] == "[" else out[1:-1]):
         out = out[1:-1].strip(_EDGES)
     out = out.lstrip("[")
@@ -101,7 +103,8 @@ def cleaned(text: str) -> str:
 
 
 def _tokens(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text)
+    """Folded tokens; an initial keeps its mark, which tells names apart."""
+    return [fold(t) if len(t) > 1 else t for t in re.findall(r"[^\W_]+", text)]
 
 
 def parse(text: str, scorer: bool) -> dict | None:
@@ -152,8 +155,9 @@ def token_cost(a: str, b: str) -> float:
     if a == b:
         return 0.0
     short, long = sorted((a.rstrip("."), b.rstrip(".")), key=len)
-    if len(short) == 1 and long.startswith(short):
-        return 0.1
+    if len(short) == 1 and long.startswith(fold(short)):
+        own = MARKED_INITIALS.get(long, long[0])
+        return 0.1 if short == own else 0.2 if short == fold(short) else 1.0
     if _SHORT.get(short) == long or _SHORT.get(long) == short or (short in _SHORT and _SHORT.get(short) == _SHORT.get(long)):
         return 0.05
     if len(short) >= 2 and long.startswith(short) and (a.endswith(".") or b.endswith(".")):
@@ -219,23 +223,26 @@ def link_names(records: DataFrame) -> DataFrame:
     clubs = cores.where("of_club").select("core").unionByName(stray.select(F.col("a").alias("core"))).distinct().withColumn("of_club", F.lit(True))
     forms = forms.join(clubs, "core", "left")
     is_club = (F.col("kind") == "club") | ((F.col("kind") == "open") & F.coalesce("of_club", F.lit(False)))
-    forms = forms.withColumns({"block": F.when(is_club, F.concat(F.lit("club:"), "side")).otherwise(F.concat(F.lit("player:"), F.substring("with", 1, 1))), "with": F.when(is_club, "").otherwise(F.col("with"))})
+    forms = forms.withColumns({"block": F.when(is_club, F.concat(F.lit("club:"), "side")).otherwise(F.concat(F.lit("player:"), folded(F.substring("with", 1, 1)))), "with": F.when(is_club, "").otherwise(F.col("with"))})
     forms = forms.withColumn("node", F.xxhash64("block", "with", "core")).select("record", "run", "node", "block", "with", "core")
     forms = materialize(forms)
     nodes = forms.groupBy("node", "block", "with", "core").agg(F.count_distinct("run", "record").alias("records"), F.count_distinct("run").alias("support"))
     nodes = materialize(nodes)
     alike, parents = _parents(nodes, forms)
-    alike = materialize(alike)
     roots = _followed(nodes.select("node"), parents)
-    # What is still poorly attested joins the class of any spelling that it is alike to.
+    # What is still poorly attested joins the class of any spelling that it is alike to, until nothing moves.
     told = nodes.select(F.col("node").alias("root"), "support")
-    a, b = (roots.join(told, "root").select(F.col("node").alias(f"{s}_node"), F.col("root").alias(f"{s}_root"), F.col("support").alias(f"{s}_told")) for s in "ab")
-    met = alike.unionByName(alike.select(F.col("b_node").alias("a_node"), F.col("a_node").alias("b_node"))).join(a, "a_node").join(b, "b_node")
-    better = (F.col("b_told") > F.col("a_told")) | ((F.col("b_told") == F.col("a_told")) & (F.col("b_root") < F.col("a_root")))
-    joins = met.where((F.col("a_root") != F.col("b_root")) & (F.col("a_told") < ATTESTED) & better)
-    joins = joins.groupBy("a_root").agg(F.max_by("b_root", F.struct("b_told", -F.col("b_root"))).alias("parent")).withColumnRenamed("a_root", "node")
-    merged = _followed(nodes.select("node"), joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = roots.join(merged, "root").select("node", F.col("top").alias("root"))
+    both = materialize(alike.unionByName(alike.select(F.col("b_node").alias("a_node"), F.col("a_node").alias("b_node"))).distinct())
+    while True:
+        a, b = (roots.join(told, "root").select(F.col("node").alias(f"{s}_node"), F.col("root").alias(f"{s}_root"), F.col("support").alias(f"{s}_told")) for s in "ab")
+        met = both.join(a, "a_node").join(b, "b_node")
+        better = (F.col("b_told") > F.col("a_told")) | ((F.col("b_told") == F.col("a_told")) & (F.col("b_root") < F.col("a_root")))
+        joins = met.where((F.col("a_root") != F.col("b_root")) & (F.col("a_told") < ATTESTED) & better)
+        joins = materialize(joins.groupBy("a_root").agg(F.max_by("b_root", F.struct("b_told", -F.col("b_root"))).alias("parent")).withColumnRenamed("a_root", "node"))
+        if joins.isEmpty():
+            break
+        merged = _followed(nodes.select("node"), joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = materialize(roots.join(merged, "root").select("node", F.col("top").alias("root")))
     weighed = forms.select("record", "node").join(nodes.select("node", "support"), "node").join(roots, "node")
     return weighed.groupBy("record").agg(F.max_by("root", F.struct("support", "root")).alias("name_class"))
 
@@ -265,25 +272,27 @@ def _parents(nodes: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield frame[frame["cost"] <= 0.35]
 
     schema = "block string, a_core string, b_core string, a_node bigint, a_with string, a_support bigint, b_node bigint, b_with string, b_support bigint, cost double"
-    fits = met.select(*[c.split()[0] for c in schema.split(", ")[:-1]]).mapInPandas(aligned, schema)
+    fits = materialize(met.select(*[c.split()[0] for c in schema.split(", ")[:-1]]).mapInPandas(aligned, schema))
     initial = lambda c: F.col(c).endswith(".")
     stronger = (F.col("b_support") > F.col("a_support")) | ((F.col("b_support") == F.col("a_support")) & (F.col("b_core") < F.col("a_core")))
     weak = (F.col("a_support") < ATTESTED) | (F.col("b_support") >= 4 * F.col("a_support"))
-    exact = F.col("a_core") == F.col("b_core")
     # Spellings of the same given name or side, and initials of the same letter.
     alike = fits.where((F.col("a_with") == F.col("b_with")) & stronger & weak)
-    # Initials to the one given name that they fit: by the same core, else by a near one.
+    # Initials to the one given name that they fit best: by the same core, else by a near one.
     full = fits.where(initial("a_with") & ~initial("b_with"))
-    full = full.withColumn("closest", F.max(exact.cast("int")).over(Window.partitionBy("a_node"))).where(F.col("closest") == exact.cast("int"))
-    one = full.groupBy("a_node").agg(F.count_distinct("b_with").alias("names"), F.max_by("b_node", F.struct("b_support", "b_core")).alias("parent"), F.lit(2).alias("rank")).where("names = 1")
+    meant = full
+    full = full.withColumn("least", F.min("cost").over(Window.partitionBy("a_node"))).where(F.col("cost") <= F.col("least"))
+    one = full.groupBy("a_node").agg(F.count_distinct("b_with").alias("names"), F.min("b_with").alias("b_with"), F.max_by("b_node", F.struct("b_support", "b_core")).alias("parent"), F.lit(2).alias("rank")).where("names = 1")
     # The two spellings of one record.
     own = forms.select("record", "node").distinct()
     row = own.alias("x").join(own.alias("y"), "record").where("x.node <> y.node").select(F.col("x.node").alias("a_node"), F.col("y.node").alias("b_node")).distinct()
     a, b = (nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "with", "core", "support")]) for s in "ab")
     row = row.join(a, "a_node").join(b, "b_node").where((F.col("a_with") == F.col("b_with")) & stronger)
     best = lambda df, rank: df.groupBy("a_node").agg(F.max_by("b_node", F.struct("b_support", "b_core")).alias("parent"), F.lit(rank).alias("rank"))
-    pairs = fits.where(F.col("a_with") == F.col("b_with")).select("a_node", "b_node").unionByName(row.select("a_node", "b_node"))
-    ways = best(row, 3).unionByName(one.drop("names")).unionByName(best(alike, 1))
+    one = materialize(one.drop("names"))
+    meant = meant.join(one.select("a_node", "b_with"), ["a_node", "b_with"], "left_semi")
+    pairs = fits.where(F.col("a_with") == F.col("b_with")).unionByName(meant).select("a_node", "b_node").unionByName(row.select("a_node", "b_node"))
+    ways = best(row, 3).unionByName(one.drop("b_with")).unionByName(best(alike, 1))
     return pairs, ways.groupBy("a_node").agg(F.max_by("parent", "rank").alias("parent")).withColumnRenamed("a_node", "node")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Times that JSON may stand as text within JSON.
 WRAPPINGS = 8
-NODES = "{key} {key_type}, field string, dewey array<int>, schema_path string, name string, kind string, value string"
+NODES = "`{key}` {key_type}, field string, dewey array<int>, schema_path string, name string, kind string, value string"
 
 
 def _content(text: str | None):
@@ -77,6 +77,8 @@ def nested_nodes(docs: DataFrame, key: str, fields: list[str], data_members: dic
     schema. ``item_names``: for each field the member that names the items of an array, by the items'
     schema path. Repeated documents give repeated nodes. ``dewey[0]`` is the ordinal of the field.
     """
+    if key in ("field", "dewey", "schema_path", "name", "kind", "value"):
+        raise ValueError(f"the key column must not be named {key}")
     naming = item_names or {}
     known = {f: frozenset(paths) for f, paths in (data_members or {}).items()}
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 64
 #: Rows a bucket should hold, of all snapshots together.
 BUCKET_ROWS = 20_000
+#: Most snapshots: their numbers are broadcast.
+MOST_SNAPSHOTS = 100_000
 
 
 def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str) -> DataFrame:
@@ -27,15 +29,16 @@ def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str)
     they disagree in value, the least value counts and null before any other. Nothing comes of the first
     snapshot, of a single one, or of an empty table.
     """
-    rows = rows.where(F.col(number).isNotNull()).select(number, *keys, value)
+    placed = rows.where(F.col(number).isNotNull()).select(F.col(number).alias("no"), F.struct(*[F.col(k) for k in keys]).alias("key"), F.col(value).alias("value"))
     spark = rows.sparkSession
-    total = rows.count()
+    total = placed.count()
     # More than the shuffle's partitions, else some of them would stay empty and others hold two.
     buckets = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ROWS)
-    numbers = rows.select(F.col(number).alias("no")).distinct().withColumn("prev", F.lag("no").over(Window.orderBy("no"))).withColumn("next", F.lead("no").over(Window.orderBy("no")))
-    key = F.struct(*[F.col(k) for k in keys])
-    hashed = rows.withColumn("key", key).withColumn("h", F.xxhash64("key"))
-    placed = hashed.select(F.col(number).alias("no"), "key", F.col(value).alias("value"), "h", F.pmod("h", F.lit(buckets)).alias("bucket"))
+    numbers = placed.select("no").distinct()
+    if numbers.count() > MOST_SNAPSHOTS:
+        raise ValueError(f"there are more than {MOST_SNAPSHOTS} snapshots")
+    numbers = numbers.withColumn("prev", F.lag("no").over(Window.orderBy("no"))).withColumn("next", F.lead("no").over(Window.orderBy("no")))
+    placed = placed.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     placed = placed.repartition("bucket")
     single = placed.groupBy("bucket", "no", "key", "h").agg(F.min(F.struct(F.col("value").isNotNull().alias("given"), F.col("value").alias("value"))).alias("v"))
     in_order = Window.partitionBy("bucket", "no").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import hashing, text
-from marketloom.operators import keyed
+from marketloom.operators import keyed, manifests
 from marketloom.plans.relational import Query
 from marketloom.session import shared_folder, table
 from marketloom.streaming import incremental
@@ -170,3 +170,37 @@ def correlated_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("end_id"), "user_id", F.col("ts").alias("end_ts"))
     got = incremental.correlated(clicks, ends, "user_id", "ts", "end_ts", "12 HOURS", "1 day")
     return got.groupBy("event_id").agg(F.min("end_id").alias("end_id"))
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "snapshot_observations").select("run_id", "observation_id", "observation_sequence", "observed_at", "disposition", F.col("raw_observation.source_hash").alias("source_hash"), F.col("raw_observation.raw").alias("raw"))
+    return manifests.fingerprinted(rows, ["disposition", "raw", "source_hash"], ["observation_id", "observation_sequence", "observed_at"])
+
+
+@query(
+    "run_manifests",
+    """WITH o AS (SELECT run_id, observation_id, observation_sequence, observed_at, disposition, raw_observation.source_hash AS source_hash, raw_observation.raw AS raw, COUNT(*) AS stored FROM snapshot_observations GROUP BY ALL),
+    c AS (SELECT run_id, disposition, source_hash, raw, COUNT(*) AS n FROM o GROUP BY ALL), k AS (SELECT run_id, COUNT(*) AS contents, SUM(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated_contents FROM c GROUP BY run_id)
+    SELECT run_id, SUM(stored)::BIGINT AS stored, COUNT(*) AS occurrences, contents, repeated_contents FROM o JOIN k USING (run_id) GROUP BY run_id, contents, repeated_contents""",
+)
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each run's manifest; the digests are tested for order and tampering."""
+    got = manifests.run_manifests(_fingerprints(spark, sf_dir), "run_id", "observation_sequence")
+    return got.select("run_id", "stored", "occurrences", "contents", "repeated_contents")
+
+
+@query("run_digests")
+def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each run."""
+    return manifests.run_manifests(_fingerprints(spark, sf_dir), "run_id", "observation_sequence").select("run_id", "digest")
+
+
+@query(
+    "contained_lineage",
+    "WITH o AS (SELECT DISTINCT observation_id, unnest(source_raw_record_ids) AS id FROM snapshot_observations), r AS (SELECT DISTINCT run_id, raw_record_id AS id FROM headerless_rows WHERE raw_record_id IS NOT NULL), s AS (SELECT observation_id, COUNT(*) AS n FROM o WHERE id IS NOT NULL GROUP BY observation_id) SELECT o.observation_id, r.run_id FROM o JOIN r USING (id) JOIN s USING (observation_id) GROUP BY o.observation_id, r.run_id, s.n HAVING COUNT(*) = s.n",
+)
+def contained_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations and the runs that hold all raw rows of their lineage."""
+    a = table(spark, sf_dir, "snapshot_observations").select("observation_id", F.explode("source_raw_record_ids").alias("id"))
+    b = table(spark, sf_dir, "headerless_rows").select("run_id", F.col("raw_record_id").alias("id"))
+    return manifests.contained(a, b, "observation_id", "run_id", "id")

@@ -178,11 +178,16 @@ def collision_count(spark, sf_dir):
     "WITH @offers, g AS (SELECT *, MAX(odds) OVER w AS top, MIN(odds) OVER w AS low FROM offers WINDOW w AS (PARTITION BY event_id, family, period, handicap_kind, line, selection)) SELECT event_id, family, period, handicap_kind, line, selection, COUNT(*) AS worse_rows, MAX(top) AS best_odds, MAX(CASE WHEN odds < top THEN odds END) AS next_odds FROM g WHERE top > low AND top / low - 1 <= 0.5 AND odds < top GROUP BY ALL",
 )
 def price_gap_alerts(spark, sf_dir):
-    """Selections with a better and a worse price, no further than half apart; one pass, by a group's own price list."""
-    lists = _offers(spark, sf_dir).groupBy(*_KEY, "selection").agg(F.max("odds").alias("best_odds"), F.min("odds").alias("low"), F.collect_list("odds").alias("prices"))
-    worse = F.filter("prices", lambda p: p < F.col("best_odds"))
-    alerts = lists.where("best_odds > low and best_odds / low - 1 <= 0.5").withColumn("worse", worse)
-    return alerts.select(*_KEY, "selection", F.size("worse").cast("bigint").alias("worse_rows"), "best_odds", F.array_max("worse").alias("next_odds"))
+    """Selections with a better and a worse price, no further than half apart. Rows combine by price before the
+    shuffle; of the distinct prices of a selection only the two best are ranked."""
+    from pyspark.sql import Window
+
+    prices = _offers(spark, sf_dir).groupBy(*_KEY, "selection", "odds").agg(F.count("*").alias("n"))
+    down = Window.partitionBy(*_KEY, "selection").orderBy(F.desc("odds"))
+    second = prices.withColumn("rank", F.row_number().over(down)).where("rank = 2").select(*_KEY, "selection", F.col("odds").alias("next_odds"))
+    spread = prices.groupBy(*_KEY, "selection").agg(F.max("odds").alias("best_odds"), F.min("odds").alias("low"), F.sum("n").alias("rows"), F.max(F.struct("odds", "n")).alias("top"))
+    alerts = spread.where("best_odds > low and best_odds / low - 1 <= 0.5").join(second, [*_KEY, "selection"])
+    return alerts.select(*_KEY, "selection", (F.col("rows") - F.col("top.n")).alias("worse_rows"), "best_odds", "next_odds")
 
 
 _SIGNATURES = """keys AS (SELECT event_id, raw_record_id, odds, concat_ws('|', 'exact', family, period, handicap_kind, line, selection) AS signature FROM offers UNION ALL

@@ -5,7 +5,7 @@ import random
 from marketloom.operators import snapshots
 from marketloom.operators.snapshots import snapshot_changes
 
-SCHEMA = "snapshot_no int, event string, market string, odds double, extra string"
+SCHEMA = "no int, key string, h string, value double, bucket string"
 
 
 def brute(rows):
@@ -25,7 +25,7 @@ def brute(rows):
 
 
 def found(spark, rows):
-    got = snapshot_changes(spark.createDataFrame(rows, SCHEMA), "snapshot_no", ["event", "market"], "odds").collect()
+    got = snapshot_changes(spark.createDataFrame(rows, SCHEMA), "no", ["key", "h"], "value").collect()
     assert len(got) == len({tuple(r) for r in got})
     return {tuple(r) for r in got}
 

@@ -226,7 +226,7 @@ def link_names(records: DataFrame) -> DataFrame:
     forms = forms.withColumns({"block": F.when(is_club, F.concat(F.lit("club:"), "side")).otherwise(F.concat(F.lit("player:"), folded(F.substring("with", 1, 1)))), "with": F.when(is_club, "").otherwise(F.col("with"))})
     forms = forms.withColumn("node", F.xxhash64("block", "with", "core")).select("record", "run", "node", "block", "with", "core")
     forms = materialize(forms)
-    nodes = forms.groupBy("node", "block", "with", "core").agg(F.count_distinct("run", "record").alias("records"), F.count_distinct("run").alias("support"))
+    nodes = forms.groupBy("node", "block", "with", "core").agg(F.count_distinct("run").alias("support"))
     nodes = materialize(nodes)
     alike, parents = _parents(nodes, forms)
     roots = _followed(nodes.select("node"), parents)

@@ -69,18 +69,18 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | Non
     the text is longer than a chunk, undefined. Characters that UTF-8 cannot hold do not occur in Spark strings.
     """
     path = vocabulary or default_vocabulary()
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
+    kind = dict(rows.dtypes)["doc"]
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = encoding(path)
         for frame in frames:
-            yield pd.DataFrame({doc_id: frame[doc_id], "ids": [known.encode_ordinary(t) if t else [] for t in frame[text]]})
-
-    kind = dict(docs.dtypes)[doc_id]
-    result = f"{doc_id} {kind}, ids array<int>"
-    rows = docs.select(doc_id, text)
-    long = F.coalesce(F.char_length(text), F.lit(0)) > chunk
-    short = rows.where(~long).mapInPandas(whole, result)
-    return short.unionByName(_encode_long(rows.where(long), doc_id, text, path, chunk, overlap, kind))
+            yield pd.DataFrame({"doc": frame["doc"], "ids": [known.encode_ordinary(t) if t else [] for t in frame["body"]]})
+
+    long = F.coalesce(F.char_length("body"), F.lit(0)) > chunk
+    short = rows.where(~long).mapInPandas(whole, f"doc {kind}, ids array<int>")
+    encoded = short.unionByName(_encode_long(rows.where(long), "doc", "body", path, chunk, overlap, kind))
+    return encoded.select(F.col("doc").alias(doc_id), "ids")
 
 
 def _encode_long(rows: DataFrame, doc_id: str, text: str, path: str, chunk: int, overlap: int, kind: str) -> DataFrame:

@@ -10,8 +10,8 @@ from marketloom.llm.tokens import boundaries, decode, default_vocabulary, encode
 
 
 def encoded(spark, rows, **size):
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, ids string")
-    return {r["doc_id"]: list(r["ids"]) for r in encode_corpus(df, "doc_id", "text", **size).collect()}
+    df = spark.createDataFrame([(*r, "clash", 1, None) for r in rows], "no bigint, part string, ids string, doc int, body string")
+    return {r["no"]: list(r["ids"]) for r in encode_corpus(df, "no", "part", **size).collect()}
 
 
 def test_long_texts_are_stitched_exactly(spark):

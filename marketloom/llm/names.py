@@ -53,6 +53,8 @@ _SCORING = re.compile(r"\s+(?:trafi|strzeli|zdobędzie|zdobedzie|strzelcem|zdoby
 MARKED_INITIALS = {"emile": "é", "oscar": "ó"}
 #: Runs (of one capture each) that attest a spelling well.
 ATTESTED = 3
+#: Most that the tokens of two spellings of one name cost together.
+MOST_COST = 0.7
 #: Most records of one name that are paired in one piece.
 PIECE = 1_000
 
@@ -133,7 +135,7 @@ def parse(text: str, scorer: bool) -> dict | None:
             side = SIDES[tokens[-1]]
             tokens = tokens[:-1]
         rest = [t for t in tokens if len(t) > 1 and not _is_club_word(t)] or tokens
-        return {"kind": "club", "side": side, "core": max(rest, key=len), "with": "", "tokens": tokens}
+        return {"kind": "club", "side": side, "core": max(rest, key=len), "with": "", "rest": "", "tokens": tokens}
     letters = [t for t in tokens if len(t) == 1]
     if len(given) == len([t for t in tokens if len(t) > 1]) and len(given) > 1:
         given = given[1:] if comma >= 0 else given[:-1]
@@ -143,11 +145,16 @@ def parse(text: str, scorer: bool) -> dict | None:
     core = rest[0] if comma >= 0 else rest[-1] if not given else max(rest, key=len)
     if not named and len(rest) > 1:  # a given name that no list has
         named = rest[-1] if comma >= 0 else rest[0]
+    others = [t for t in tokens if len(t) > 1]
+    others.remove(core) if core in others else None
+    first = tokens[given[0][0]] if given else named
+    others.remove(first) if first in others else None
+    more = " ".join(sorted(others))
     if not named and letters:
         named = f"{letters[0]}."
         trailing = len(tokens[-1]) == 1
-        return {"kind": "player" if scorer else "open", "side": SIDES.get(tokens[-1], "") if trailing else "", "core": core, "with": named, "tokens": tokens}
-    return {"kind": "player", "side": "", "core": core, "with": named or "?", "tokens": tokens}
+        return {"kind": "player" if scorer else "open", "side": SIDES.get(tokens[-1], "") if trailing else "", "core": core, "with": named, "rest": more, "tokens": tokens}
+    return {"kind": "player", "side": "", "core": core, "with": named or "?", "rest": more, "tokens": tokens}
 
 
 def token_cost(a: str, b: str) -> float:
@@ -170,29 +177,47 @@ def alignment(a: list[str], b: list[str]) -> float:
     few, many = sorted((a, b), key=len)
     if not few:
         return 1.0
-    best = {0: 0.0}
-    for x in few:
-        step: dict[int, float] = {}
-        for used, total in best.items():
-            for j, y in enumerate(many):
-                if not used & 1 << j:
-                    step[used | 1 << j] = min(step.get(used | 1 << j, 1e9), total + token_cost(x, y))
-        best = step
-    return min(best.values()) / len(few)
+    costs = [[token_cost(x, y) for y in many] for x in few]
+    if len(few) == 1:
+        return min(costs[0])
+    # Shortest augmenting paths with potentials; row and column 0 stand for none.
+    rows, cols = len(few), len(many)
+    u, v, owner = [0.0] * (rows + 1), [0.0] * (cols + 1), [0] * (cols + 1)
+    for row in range(1, rows + 1):
+        owner[0], at = row, 0
+        least, way, done = [float("inf")] * (cols + 1), [0] * (cols + 1), [False] * (cols + 1)
+        while owner[at]:
+            done[at] = True
+            i = owner[at]
+            for j in range(1, cols + 1):
+                if not done[j] and (now := costs[i - 1][j - 1] - u[i] - v[j]) < least[j]:
+                    least[j], way[j] = now, at
+            to = min((j for j in range(1, cols + 1) if not done[j]), key=least.__getitem__)
+            delta = least[to]
+            for j in range(cols + 1):
+                if done[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = to
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    return sum(costs[owner[j] - 1][j - 1] for j in range(1, cols + 1) if owner[j]) / rows
 
 
 def _forms(records: DataFrame) -> DataFrame:
-    """(record, run, kind, side, core, with) of each name of each record (record, run, names, scorer)."""
+    """(record, run, kind, side, core, with, rest) of each name of each record (record, run, names, scorer)."""
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for record, run, names, scorer in zip(frame["record"], frame["run"], frame["names"], frame["scorer"], strict=True):
                 found = [p for p in (parse(n, scorer) for n in names if n and len(n) < 1_000) if p]
-                out += [(record, run, p["kind"], p["side"], p["core"], p["with"]) for p in _agreed(found)]
-            yield pd.DataFrame(out, columns=["record", "run", "kind", "side", "core", "with"])
+                out += [(record, run, p["kind"], p["side"], p["core"], p["with"], p["rest"]) for p in _agreed(found)]
+            yield pd.DataFrame(out, columns=["record", "run", "kind", "side", "core", "with", "rest"])
 
-    return records.mapInPandas(parsed, "record bigint, run string, kind string, side string, core string, with string")
+    return records.mapInPandas(parsed, "record bigint, run string, kind string, side string, core string, with string, rest string")
 
 
 def _agreed(found: list[dict]) -> list[dict]:
@@ -200,10 +225,11 @@ def _agreed(found: list[dict]) -> list[dict]:
     kinds = {p["kind"] for p in found}
     if "club" in kinds:
         side = next((p["side"] for p in found if p["kind"] == "club" and p["side"]), "")
-        return [p | {"kind": "club", "side": side, "with": ""} for p in found]
+        return [p | {"kind": "club", "side": side, "with": "", "rest": ""} for p in found]
     full = next((p["with"] for p in found if p["kind"] == "player" and not p["with"].endswith(".") and p["with"] != "?"), None)
     if full:
-        return [p | {"kind": "player", "with": full, "side": ""} for p in found]
+        swapped = lambda p: p["core"] == full and p["with"] not in ("?", full) and not p["with"].endswith(".")
+        return [p | {"kind": "player", "with": full, "side": "", "core": p["with"] if swapped(p) else p["core"]} for p in found]
     return found
 
 
@@ -223,10 +249,10 @@ def link_names(records: DataFrame) -> DataFrame:
     clubs = cores.where("of_club").select("core").unionByName(stray.select(F.col("a").alias("core"))).distinct().withColumn("of_club", F.lit(True))
     forms = forms.join(clubs, "core", "left")
     is_club = (F.col("kind") == "club") | ((F.col("kind") == "open") & F.coalesce("of_club", F.lit(False)))
-    forms = forms.withColumns({"block": F.when(is_club, F.concat(F.lit("club:"), "side")).otherwise(F.concat(F.lit("player:"), folded(F.substring("with", 1, 1)))), "with": F.when(is_club, "").otherwise(F.col("with"))})
-    forms = forms.withColumn("node", F.xxhash64("block", "with", "core")).select("record", "run", "node", "block", "with", "core")
+    forms = forms.withColumns({"block": F.when(is_club, F.concat(F.lit("club:"), "side")).otherwise(F.concat(F.lit("player:"), folded(F.substring("with", 1, 1)))), "with": F.when(is_club, "").otherwise(F.col("with")), "rest": F.when(is_club, "").otherwise(F.col("rest"))})
+    forms = forms.withColumn("node", F.xxhash64("block", "with", "core", "rest")).select("record", "run", "node", "block", "with", "core", "rest")
     forms = materialize(forms)
-    nodes = forms.groupBy("node", "block", "with", "core").agg(F.count_distinct("run").alias("support"))
+    nodes = forms.groupBy("node", "block", "with", "core", "rest").agg(F.count_distinct("run").alias("support"))
     nodes = materialize(nodes)
     alike, parents = _parents(nodes, forms)
     roots = _followed(nodes.select("node"), parents)
@@ -259,39 +285,54 @@ def _followed(nodes: DataFrame, parents: DataFrame) -> DataFrame:
 
 def _parents(nodes: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a_node, b_node) of the spellings that may be one name; (node, parent) of those that another one explains."""
-    words = nodes.select("block", F.col("core").alias("word")).distinct()
+    # A name is met by its core and by each further token; one whose given name no list has also by that, as it may be either.
+    listed = lambda c: F.col(c).isin(list(GIVEN))
+    block_of = lambda c: F.concat(F.lit("player:"), folded(F.substring(c, 1, 1)))
+    own = ["node", "rest", "support", F.concat_ws(" ", "core", "with", "rest").alias("name")]
+    free = F.col("block").startswith("player:") & ~F.col("with").endswith(".") & (F.col("with") != "?") & ~listed("with")
+    views = nodes.select(*own, "block", "with", "core", F.explode(F.filter(F.concat(F.array("core"), F.split("rest", " ")), lambda t: t != "")).alias("word"))
+    views = materialize(views.unionByName(nodes.where(free).select(*own, block_of("core").alias("block"), F.col("core").alias("with"), F.col("with").alias("core"), F.col("with").alias("word"))).distinct())
+    words = views.select("block", "word").distinct()
     near = near_pairs(words, words, "word", "block", two_from=99)
-    sides = lambda name: nodes.select("block", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "with", "core", "support")])
-    met = near.select("block", F.col("a").alias("a_core"), F.col("b").alias("b_core")).join(sides("a"), ["block", "a_core"]).join(sides("b"), ["block", "b_core"])
-    met = met.where("a_node <> b_node")
+    sides = lambda name: views.select("block", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "with", "core", "rest", "name", "support", "word")])
+    met = near.select("block", F.col("a").alias("a_word"), F.col("b").alias("b_word")).join(sides("a"), ["block", "a_word"]).join(sides("b"), ["block", "b_word"])
+    met = met.where("a_node <> b_node").drop("a_word", "b_word").distinct()
 
     def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = zip(frame["a_with"], frame["a_core"], frame["b_with"], frame["b_core"], strict=True)
-            frame["cost"] = [alignment([x for x in (aw, ac) if x], [x for x in (bw, bc) if x]) for aw, ac, bw, bc in rows]
-            yield frame[frame["cost"] <= 0.35]
+            rows = zip(frame["a_with"], frame["a_core"], frame["a_rest"], frame["b_with"], frame["b_core"], frame["b_rest"], strict=True)
+            both = [([x for x in (aw, ac, *ar.split()) if x], [x for x in (bw, bc, *br.split()) if x]) for aw, ac, ar, bw, bc, br in rows]
+            frame["cost"] = [alignment(x, y) for x, y in both]
+            # All tokens of the shorter name together: less than one unlike token.
+            yield frame[[c * min(len(x), len(y)) <= MOST_COST for c, (x, y) in zip(frame["cost"], both, strict=True)]]
 
-    schema = "block string, a_core string, b_core string, a_node bigint, a_with string, a_support bigint, b_node bigint, b_with string, b_support bigint, cost double"
+    schema = ", ".join(f"{s}_{c}" for s in "ab" for c in ("node bigint", "with string", "core string", "rest string", "name string", "support bigint")) + ", cost double"
     fits = materialize(met.select(*[c.split()[0] for c in schema.split(", ")[:-1]]).mapInPandas(aligned, schema))
     initial = lambda c: F.col(c).endswith(".")
-    stronger = (F.col("b_support") > F.col("a_support")) | ((F.col("b_support") == F.col("a_support")) & (F.col("b_core") < F.col("a_core")))
+    stronger = (F.col("b_support") > F.col("a_support")) | ((F.col("b_support") == F.col("a_support")) & (F.col("b_name") < F.col("a_name")))
     weak = (F.col("a_support") < ATTESTED) | (F.col("b_support") >= 4 * F.col("a_support"))
-    # Spellings of the same given name or side, and initials of the same letter.
-    alike = fits.where((F.col("a_with") == F.col("b_with")) & stronger & weak)
+    # Spellings of the same given name or side, and initials of the same letter; of other given names those that the
+    # alignment lets pass, unless the list knows both: then they are two names (Michal, Michael).
+    given = (F.col("a_with") == F.col("b_with")) | ~(initial("a_with") | initial("b_with") | (listed("a_with") & listed("b_with")))
+    alike = fits.where(given & stronger & weak)
+    best = lambda df, rank: df.groupBy("a_node").agg(F.max_by("b_node", F.struct("b_support", "b_name")).alias("parent"), F.lit(rank).alias("rank"))
     # Initials to the one given name that they fit best: by the same core, else by a near one.
     full = fits.where(initial("a_with") & ~initial("b_with"))
     meant = full
     full = full.withColumn("least", F.min("cost").over(Window.partitionBy("a_node"))).where(F.col("cost") <= F.col("least"))
-    one = full.groupBy("a_node").agg(F.count_distinct("b_with").alias("names"), F.min("b_with").alias("b_with"), F.max_by("b_node", F.struct("b_support", "b_core")).alias("parent"), F.lit(2).alias("rank")).where("names = 1")
+    # Spellings of one given name that end in one spelling are one name.
+    ends = _followed(nodes.select("node"), best(alike, 1).select(F.col("a_node").alias("node"), "parent")).select(F.col("node").alias("b_node"), F.col("root").alias("b_root"))
+    full = full.join(ends, "b_node")
+    one = full.groupBy("a_node").agg(F.count_distinct("b_with").alias("names"), F.count_distinct("b_root").alias("roots"), F.min("b_with").alias("b_with"), F.max_by("b_node", F.struct("b_support", "b_name")).alias("parent"), F.lit(2).alias("rank"))
+    one = one.where("names = 1 or roots = 1").drop("roots")
     # The two spellings of one record.
-    own = forms.select("record", "node").distinct()
-    row = own.alias("x").join(own.alias("y"), "record").where("x.node <> y.node").select(F.col("x.node").alias("a_node"), F.col("y.node").alias("b_node")).distinct()
-    a, b = (nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "with", "core", "support")]) for s in "ab")
+    carried = forms.select("record", "node").distinct()
+    row = carried.alias("x").join(carried.alias("y"), "record").where("x.node <> y.node").select(F.col("x.node").alias("a_node"), F.col("y.node").alias("b_node")).distinct()
+    a, b = (nodes.select(*own, "with").select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "with", "name", "support")]) for s in "ab")
     row = row.join(a, "a_node").join(b, "b_node").where((F.col("a_with") == F.col("b_with")) & stronger)
-    best = lambda df, rank: df.groupBy("a_node").agg(F.max_by("b_node", F.struct("b_support", "b_core")).alias("parent"), F.lit(rank).alias("rank"))
     one = materialize(one.drop("names"))
     meant = meant.join(one.select("a_node", "b_with"), ["a_node", "b_with"], "left_semi")
-    pairs = fits.where(F.col("a_with") == F.col("b_with")).unionByName(meant).select("a_node", "b_node").unionByName(row.select("a_node", "b_node"))
+    pairs = fits.where(given).unionByName(meant).select("a_node", "b_node").unionByName(row.select("a_node", "b_node"))
     ways = best(row, 3).unionByName(one.drop("b_with")).unionByName(best(alike, 1))
     return pairs, ways.groupBy("a_node").agg(F.max_by("parent", "rank").alias("parent")).withColumnRenamed("a_node", "node")
 

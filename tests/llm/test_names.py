@@ -62,6 +62,20 @@ def test_variants_link_and_namesakes_do_not(spark):
     assert not {30, 31, 32} & got.keys()
 
 
+def test_given_names_that_no_list_has(spark):
+    typed = ["Zinedin Belkadi", "Zinedine Belkadi", "Belkadi Zinedine", "Belkadi, Zinedine", "Sinedine Belkadi", "Z. Belkadi", "Ousmane Belkadi"]
+    got = classes(spark, [(i, f"run{i}", [n], True) for i, n in enumerate(typed)])
+    assert len({got[i] for i in range(6)}) == 1 and got[6] != got[0]
+    got = classes(spark, [(0, "a", ["Michal Langstromer"], True), (1, "b", ["Michael Langstromer"], True), (2, "c", ["Zinedine Belkadi", "Belkadi Zinedine"], True), (3, "d", ["Belkadi Zinedine"], True)])
+    assert got[0] != got[1] and got[2] == got[3]
+
+
+def test_all_tokens_are_aligned(spark):
+    got = classes(spark, [(i, f"run{i}", [n], True) for i, n in enumerate(["Ousmane Garrido Lopetegui", "Ousmane Lopetegui", "Ousmane Garrido Bentancur"])])
+    assert got[0] == got[1] != got[2]
+    assert alignment(["a", "bc", "def", "gh"], ["gh", "def", "x", "bc", "a"]) == 0
+
+
 def test_order_of_rows_has_no_part(spark):
     rows = [(i, f"run{i}", [n], False) for i, n in enumerate(["Bob Langstromer", "Robert Langstromer", "Langstromer R", "Robert Langstormer", "Wawerograd", "FC Wawerograd"])]
     assert classes(spark, rows) == classes(spark, rows[::-1])

@@ -4,8 +4,8 @@ A name is parsed to a core (family name, or the place of a club), what goes with
 the club's side), and the rest, which does not tell anybody apart (legal forms, middle initials). Cores meet in
 the symmetric-delete index within the names that can be the same at all; the tokens of two names that meet
 are aligned by optimal assignment, initials and short forms being alike to what they may stand for. Every
-spelling then points to its best-attested neighbour, and pointers are followed to the end; well-attested
-spellings point nowhere, so that two names a letter apart are not drawn together by a chain of typos.
+spelling then points to its best-attested neighbour, and pointers are followed to the end. Classes that meet only
+by spellings much less attested than both stay apart, so that two names are not drawn together by a chain of typos.
 """
 
 from __future__ import annotations
@@ -51,8 +51,9 @@ SIDES = {
 _SCORING = re.compile(r"\s+(?:trafi|strzeli|zdobędzie|zdobedzie|strzelcem|zdobywa|to score|scores|will score|anytime|marca|marcara|trifft)\b.*$")
 # Given names of which the initial has a mark, and the initial.
 MARKED_INITIALS = {"emile": "é", "oscar": "ó"}
-#: Runs (of one capture each) that attest a spelling well.
-ATTESTED = 3
+#: Most times that a class's best-attested spelling may be attested as often as the spelling by which it meets another
+#: class; beyond that the two are names of their own with a typo between. A ratio, so that the size of the table has no part.
+PEAK = 4
 #: Most that the tokens of two spellings of one name cost together.
 MOST_COST = 0.7
 #: Most records of one name that are paired in one piece.
@@ -256,14 +257,17 @@ def link_names(records: DataFrame) -> DataFrame:
     nodes = materialize(nodes)
     alike, parents = _parents(nodes, forms)
     roots = _followed(nodes.select("node"), parents)
-    # What is still poorly attested joins the class of any spelling that it is alike to, until nothing moves.
+    # A class joins another one by any spellings that are alike and hardly less attested than itself, until nothing moves.
     told = nodes.select(F.col("node").alias("root"), "support")
-    both = materialize(alike.unionByName(alike.select(F.col("b_node").alias("a_node"), F.col("a_node").alias("b_node"))).distinct())
+    both = alike.unionByName(alike.select(F.col("b_node").alias("a_node"), F.col("a_node").alias("b_node"))).distinct()
+    for s in "ab":
+        both = both.join(nodes.select(F.col("node").alias(f"{s}_node"), F.col("support").alias(f"{s}_support")), f"{s}_node")
+    both = materialize(both.select("a_node", "b_node", F.least("a_support", "b_support").alias("bridge")))
     while True:
         a, b = (roots.join(told, "root").select(F.col("node").alias(f"{s}_node"), F.col("root").alias(f"{s}_root"), F.col("support").alias(f"{s}_told")) for s in "ab")
         met = both.join(a, "a_node").join(b, "b_node")
         better = (F.col("b_told") > F.col("a_told")) | ((F.col("b_told") == F.col("a_told")) & (F.col("b_root") < F.col("a_root")))
-        joins = met.where((F.col("a_root") != F.col("b_root")) & (F.col("a_told") < ATTESTED) & better)
+        joins = met.where((F.col("a_root") != F.col("b_root")) & (F.col("a_told") <= PEAK * F.col("bridge")) & better)
         joins = materialize(joins.groupBy("a_root").agg(F.max_by("b_root", F.struct("b_told", -F.col("b_root"))).alias("parent")).withColumnRenamed("a_root", "node"))
         if joins.isEmpty():
             break
@@ -310,11 +314,10 @@ def _parents(nodes: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = materialize(met.select(*[c.split()[0] for c in schema.split(", ")[:-1]]).mapInPandas(aligned, schema))
     initial = lambda c: F.col(c).endswith(".")
     stronger = (F.col("b_support") > F.col("a_support")) | ((F.col("b_support") == F.col("a_support")) & (F.col("b_name") < F.col("a_name")))
-    weak = (F.col("a_support") < ATTESTED) | (F.col("b_support") >= 4 * F.col("a_support"))
     # Spellings of the same given name or side, and initials of the same letter; of other given names those that the
     # alignment lets pass, unless the list knows both: then they are two names (Michal, Michael).
     given = (F.col("a_with") == F.col("b_with")) | ~(initial("a_with") | initial("b_with") | (listed("a_with") & listed("b_with")))
-    alike = fits.where(given & stronger & weak)
+    alike = fits.where(given & stronger)
     best = lambda df, rank: df.groupBy("a_node").agg(F.max_by("b_node", F.struct("b_support", "b_name")).alias("parent"), F.lit(rank).alias("rank"))
     # Initials to the one given name that they fit best: by the same core, else by a near one.
     full = fits.where(initial("a_with") & ~initial("b_with"))

@@ -76,6 +76,15 @@ def test_all_tokens_are_aligned(spark):
     assert alignment(["a", "bc", "def", "gh"], ["gh", "def", "x", "bc", "a"]) == 0
 
 
+@pytest.mark.parametrize("times", [1, 5])
+def test_size_of_the_table_has_no_part(spark, times):
+    runs = {"Robert Kowalsky": 1, "Robert Kowalski": 2, "Ousmane Barelak": 12, "Ousmane Barelik": 1, "Ousmane Barylik": 12}
+    typed = [n for n, k in runs.items() for _ in range(k * times)]
+    got = classes(spark, [(i, f"run{i}", [n], True) for i, n in enumerate(typed)])
+    of = {n: {got[i] for i, t in enumerate(typed) if t == n} for n in runs}
+    assert of["Robert Kowalsky"] == of["Robert Kowalski"] and of["Ousmane Barelak"] != of["Ousmane Barylik"]
+
+
 def test_order_of_rows_has_no_part(spark):
     rows = [(i, f"run{i}", [n], False) for i, n in enumerate(["Bob Langstromer", "Robert Langstromer", "Langstromer R", "Robert Langstormer", "Wawerograd", "FC Wawerograd"])]
     assert classes(spark, rows) == classes(spark, rows[::-1])

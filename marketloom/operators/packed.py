@@ -43,8 +43,11 @@ RECORD_IDS = Packing(hard=",;|", soft=" ", brackets=True)
 
 #: Natural logarithm of the prior of a doubtful separator that stays inside a value, for each such separator.
 INSIDE_LOG_PRIOR = -25.0
-#: Rounds of expectation maximisation.
-ROUNDS = 2
+#: Least probability of a value, seen or not. Not a share of a count, so that the size of the column has no part: two
+#: values never seen (twice this) must stay likelier than one with a separator inside (once this, and the prior).
+UNSEEN = 1e-6
+#: Expectation maximisation ends when no value's frequency moves by more than this share of itself and one.
+SETTLED = 1e-3
 
 
 def _any(chars: str) -> str:
@@ -108,7 +111,7 @@ def _edges(lattices: Iterator[pd.DataFrame], how: dict[str, Packing]) -> Iterato
 
 
 def _log_p(spans: list, total: float) -> dict[tuple[int, int], float]:
-    return {(e["i"], e["j"]): math.log((e["c"] + 1e-6) / total) + (e["j"] - e["i"] - 1) * INSIDE_LOG_PRIOR for e in spans}
+    return {(e["i"], e["j"]): math.log(e["c"] / total + UNSEEN) + (e["j"] - e["i"] - 1) * INSIDE_LOG_PRIOR for e in spans}
 
 
 def _posteriors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,10 +184,13 @@ def segment_doubtful(found: DataFrame, how: dict[str, Packing]) -> DataFrame:
             .join(F.broadcast(total), "kind")
         )
 
-    now = fixed
-    for _ in range(ROUNDS):
+    now, settled = fixed, False
+    while not settled:
         expected = scored(now).select("kind", "times", "n", "total", "spans").mapInPandas(_posteriors, "kind string, span string, c double")
-        now = materialize(expected.unionByName(fixed).groupBy("kind", "span").agg(F.sum("c").alias("c")))
+        both = expected.unionByName(fixed).withColumn("before", F.lit(0.0)).unionByName(now.select("kind", "span", F.lit(0.0).alias("c"), F.col("c").alias("before")))
+        moved = materialize(both.groupBy("kind", "span").agg(F.sum("c").alias("c"), F.sum("before").alias("before")))
+        settled = moved.where(F.abs(F.col("c") - F.col("before")) > SETTLED * (1 + F.col("before"))).isEmpty()
+        now = moved.select("kind", "span", "c")
     return scored(now).select("kind", "block", "n", "total", "spans").mapInPandas(_viterbi, "kind string, block string, values array<string>")
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +52,18 @@ def test_atoms_round_trip(atoms, mark):
     assert _span(got, between, 0, len(got)) == mark.join(atoms)
 
 
+@pytest.mark.parametrize("total", [1e2, 1e5, 1e8, 1e12])
+def test_values_never_seen_alone_part_at_any_size_of_the_column(total):
+    atoms, between = _atoms("run_a:21 run_a:9 run_b:4 run_c:7", RECORD_IDS)
+    spans = [{"i": i, "j": j, "span": _span(atoms, between, i, j), "c": 0.0} for i in range(4) for j in range(i + 1, 5)]
+    for _ in range(4):
+        frame = pd.DataFrame({"kind": ["r"], "block": ["x"], "times": [1.0], "n": [4], "total": [total], "spans": [spans]})
+        assert list(next(_viterbi(iter([frame])))["values"][0]) == atoms
+        expected = {r.span: r.c for r in next(_posteriors(iter([frame]))).itertuples()}
+        assert all(abs(expected[a] - 1) < 0.01 for a in atoms)
+        spans = [e | {"c": expected[e["span"]]} for e in spans]
+
+
 def test_expectations_and_best_path():
     import pandas as pd
 

@@ -40,13 +40,6 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The children of every packet, with the position of their parent."""
-    nodes = nested_nodes(
-        table(spark, sf_dir, "context_packets"),
-        "packet_id",
-        ["fair_markets", "market_graph", "quarantined_rows"],
-        {"fair_markets": {"[].selections"}, "quarantined_rows": {"[].original_fields"}},
-        {"fair_markets": {"[]": "key", "[].selections[]": "name"}, "market_graph": {"nodes[]": "id", "relations[]": "type", "relations[].nodes[]": "id"}, "quarantined_rows": {"[]": "source_record_id", "[].reasons[]": "reason"}},
-    )
     own, none = ordinal(F.col("dewey")), F.lit(-1)
     named = F.when(F.col("kind") == "object", F.col("name")).otherwise(F.col("value"))
     tables: list[tuple[str, str, str, Column, Column, Column]] = [
@@ -61,6 +54,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("quarantine_reason", "quarantined_rows", "[].reasons", ordinal(F.col("dewey"), 1), F.lit(0), F.when(F.col("kind") == "string", F.col("value"))),
         ("original_field", "quarantined_rows", "[].original_fields{}", ordinal(F.col("dewey"), 2), none, F.col("name")),
     ]
+    wanted: dict[str, set[str]] = {}
+    for _, field, path, *_ in tables:
+        wanted.setdefault(field, set()).add(path)
+    nodes = nested_nodes(
+        table(spark, sf_dir, "context_packets"),
+        "packet_id",
+        ["fair_markets", "market_graph", "quarantined_rows"],
+        {"fair_markets": {"[].selections"}, "quarantined_rows": {"[].original_fields"}},
+        {"fair_markets": {"[]": "key", "[].selections[]": "name"}, "market_graph": {"nodes[]": "id", "relations[]": "type", "relations[].nodes[]": "id"}, "quarantined_rows": {"[]": "source_record_id", "[].reasons[]": "reason"}},
+        wanted,
+    )
     child = F.lit(None).cast("struct<child_kind: string, parent_pos: int, pos: int, item_key: string>")
     for kind, field, path, parent, pos, key in reversed(tables):
         row = F.struct(F.lit(kind).alias("child_kind"), parent.alias("parent_pos"), pos.alias("pos"), key.alias("item_key"))

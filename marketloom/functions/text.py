@@ -32,8 +32,8 @@ def spaced_ampersands(text: Column) -> Column:
 
 
 def team_name(text: Column) -> Column:
-    """A name without digits at its end."""
-    return F.trim(F.regexp_replace(text, r"\s*\d+\s*$", ""))
+    """A name without a number that stands at its end by itself: digits that belong to the last word stay."""
+    return F.trim(F.regexp_replace(F.trim(text), r"\s+\d+$", ""))
 
 
 def without_repeated_words(text: Column) -> Column:
@@ -49,21 +49,27 @@ def column_role(instance: Column) -> Column:
 
 
 def line_value(text: Column) -> Column:
-    """The line a text names: a signed decimal, else a signed integer, else an integer; null if none."""
-    found = lambda p: F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), p, 1), F.lit(""))
-    return F.coalesce(found(r"([+-]?\d+\.\d+)"), found(r"([+-]\d+)"), found(r"\b(\d+)\b")).try_cast("double")
+    """The line that a text names, as text with its sign: a decimal, else a signed integer, else an integer; null if none."""
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return F.coalesce(F.replace(found(r"([+-]?\d+[.,]\d+)"), F.lit(","), F.lit(".")), found(r"([+-]\d+)"), found(r"\b(\d+)\b"))
 
 
 def player_line(text: Column) -> Column:
-    """The threshold behind a word for more or less; null if none."""
-    return F.nullif(F.regexp_extract(text, r"(?i)\b(?:over|under|powyżej|poniżej|więcej niż|mniej niż)\s+(\d+(?:[.,]\d+)?)", 1), F.lit(""))
+    """The threshold behind a word for more or less, its decimal mark a point; null if none."""
+    said = F.regexp_extract(text, r"(?iu)(?:powyżej|poniżej|over|under)\s+([0-9]+[.,]?[0-9]*)\b", 1)
+    return F.nullif(F.replace(said, F.lit(","), F.lit(".")), F.lit(""))
 
 
 def general_number(value: Column) -> Column:
-    """A number as text without a trailing ``.0``; minus zero is zero; what is no finite number is null."""
-    number = F.replace(value.cast("string"), F.lit(","), F.lit(".")).try_cast("double")
+    """A number in its shortest form of six significant digits (C's ``%g``); minus zero is zero; blanks inside and a decimal
+    comma are read; what is no finite number is null."""
+    number = F.replace(F.replace(F.trim(value.cast("string")), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
     finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), F.when(number == 0, 0.0).otherwise(number))
-    return F.regexp_replace(finite.cast("string"), r"\.0$", "")
+    digits = F.format_string("%.5e", finite)
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(digits.try_cast("decimal(30,12)").cast("string"), r"\.?0+$", "")
+    scientific = F.regexp_replace(digits, r"\.?0+e", "e")
+    return F.when(finite.isNull(), None).when(finite == 0, "0").when(power.between(-4, 5), plain).otherwise(scientific)
 
 
 def line_class(line: Column) -> Column:
@@ -109,9 +115,10 @@ def assignments(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def file_name(text: Column) -> Column:
-    """A text as part of a file name."""
-    return F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z_-]+", "_"), r"^_+|_+$", "")
+def file_name(text: Column, index: Column | None = None) -> Column:
+    """A text as part of a file name: each other character an underscore; ``TAB_`` and the index where nothing is left of it."""
+    name = F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z_-]", "_"), r"^_+|_+$", "")
+    return name if index is None else F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("TAB_"), index.cast("string"))).otherwise(name)
 
 
 def canonical_utc(text: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.session import materialize
+
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """One row per key: the values of its greatest row by ``order``. Null is the least value of an order."""
@@ -33,27 +35,32 @@ def merged_representations(rows: DataFrame, keys: list[str], record_id: str, ord
     return rows.groupBy(*keys).agg(kept, ids, F.count("*").alias("representations")).select(*keys, *[F.col("kept")[v].alias(v) for v in values], "lineage", "representations")
 
 
-def fold_observations(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def fold_observations(rows: DataFrame, keys: list[str], order: str, context: list[str] | None = None) -> DataFrame:
     """The survivor of each key after reading its rows in order, and the conflicts on the way.
 
     rows: keys, order, odds, capture, tab, instance, visible, raw_record_id. Each row meets the survivor:
     equal odds merge lineage and the later one survives; of a hidden and a visible row of one instance the
     visible one; of rows from different captures (tabs, where neither has a capture) the later one; all else is a
     conflict, and the survivor stays. Equal rows in order are read by id. The rows of a key are few: they are
-    the sightings of one offer in one event.
+    the sightings of one offer in one event. ``context``: columns (run, event, source) that rows which merge lineage must
+    agree in where both have them; rows that do not are an error, as their lineage would name another source.
     """
-    seen = F.struct(F.col(order).alias("at"), "raw_record_id", "odds", "capture", "tab", "instance", "visible")
+    own_context = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in context or []], F.lit("").alias("_"))
+    seen = F.struct(F.col(order).alias("at"), "raw_record_id", "odds", "capture", "tab", "instance", "visible", own_context.alias("context"))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(seen)).alias("seen"))
     first = F.col("seen")[0]
 
     def state(x: Column, lineage: Column, count: Column, conflicts: Column) -> Column:
-        return F.struct(x["at"].alias("at"), x["raw_record_id"].alias("id"), x["odds"].alias("odds"), x["capture"].alias("capture"), x["tab"].alias("tab"), x["instance"].alias("instance"), x["visible"].alias("visible"), lineage.alias("lineage"), count.alias("n"), conflicts.alias("conflicts"))
+        return F.struct(x["at"].alias("at"), x["raw_record_id"].alias("id"), x["odds"].alias("odds"), x["capture"].alias("capture"), x["tab"].alias("tab"), x["instance"].alias("instance"), x["visible"].alias("visible"), x["context"].alias("context"), lineage.alias("lineage"), count.alias("n"), conflicts.alias("conflicts"))
 
     def kept(s: Column, lineage: Column, count: Column, conflicts: Column) -> Column:
-        return F.struct(*[s[c].alias(c) for c in ("at", "id", "odds", "capture", "tab", "instance", "visible")], lineage.alias("lineage"), count.alias("n"), conflicts.alias("conflicts"))
+        return F.struct(*[s[c].alias(c) for c in ("at", "id", "odds", "capture", "tab", "instance", "visible", "context")], lineage.alias("lineage"), count.alias("n"), conflicts.alias("conflicts"))
 
     def meet(s: Column, x: Column) -> Column:
         both = F.array_distinct(F.concat(s["lineage"], F.array(x["raw_record_id"])))
+        for c in context or []:
+            foreign = (s["context"][c] != "") & (x["context"][c] != "") & (s["context"][c] != x["context"][c])
+            both = F.when(foreign, F.raise_error(F.lit(f"lineage of another {c} must not merge")).cast("array<string>")).otherwise(both)
         later = x["at"] > s["at"]
         own = F.array(x["raw_record_id"])
         one = F.lit(1)
@@ -70,10 +77,57 @@ def fold_observations(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     return folded.select(*keys, F.col("s.id").alias("raw_record_id"), F.col("s.odds").alias("odds"), F.col("s.lineage").alias("lineage"), F.col("s.n").alias("representations"), F.col("s.conflicts").alias("conflicts"))
 
 
+#: Rows of a key from which they are numbered in several tasks.
+HOT_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the number of each row among those of its key, by order, from 1. Null is a key like any other.
+
+    The rows of a hot key are cut into ranges of their order: each range is numbered by itself and begins where the
+    ranges before it end. Equal rows in order stand together, and which of them comes first is not defined.
+    """
+    number = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
+    hot = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= HOT_ROWS)) if keys else None
+    if hot is not None and hot.isEmpty():
+        return rows.withColumn(name, number(keys))
+    named = hot.select(F.struct(*keys).alias("__key")) if keys else None
+    marked = rows.withColumn("__key", F.struct(*keys) if keys else F.lit(0))
+    cool = marked.join(named, "__key", "left_anti").drop("__key").withColumn(name, number(keys)) if keys else None
+    warm = marked.join(named, "__key", "left_semi") if keys else marked
+    # The ranges are pinned by a checkpoint: a range of another sampling would be another one.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(warm.repartitionByRange(parts, "__key", *order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__key", "__range").agg(F.count("*").alias("__n"))
+    begins = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = placed.withColumn(name, number(["__key", "__range"])).join(F.broadcast(begins.drop("__n")), ["__key", "__range"])
+    out = out.withColumn(name, F.col(name) + F.col("__before")).drop("__key", "__range", "__before")
+    return out if cool is None else cool.unionByName(out)
+
+
 def nth_occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """The n-th row of a key on the left with the n-th of it on the right; rows without a partner are dropped."""
-    number = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return left.withColumn("occurrence", number(left_order)).join(right.withColumn("occurrence", number(right_order)), [*keys, "occurrence"])
+    return numbered(left, keys, left_order, "occurrence").join(numbered(right, keys, right_order, "occurrence"), [*keys, "occurrence"])
+
+
+def chain_ends(rows: DataFrame, row_id: str, before: str) -> DataFrame:
+    """(row, root, steps, cyclic) of each row of a chain: where its pointers to the row before end, and how many they are.
+
+    By pointer doubling: chains of n rows take log2(n) rounds, whatever their length. A pointer to a row that does not
+    exist ends there. Rows on a cycle, and those that lead to one, are ``cyclic``: after so many doublings that no chain of
+    the table could be longer they still have a pointer.
+    """
+    known = rows.select(F.col(row_id).alias("row"), F.col(before).alias("up"))
+    exists = known.select(F.col("row").alias("up"), F.lit(True).alias("there"))
+    now = known.join(exists, "up", "left").select("row", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("steps"))
+    now = materialize(now.withColumn("root", F.coalesce("up", "row")))
+    total, length = now.count(), 1
+    while length <= total and not now.where("up is not null").isEmpty():
+        ahead = now.select(F.col("row").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("root").alias("end"))
+        met = now.join(ahead, "up", "left")
+        now = materialize(met.select("row", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("end", "root").alias("root")))
+        length *= 2
+    return now.select("row", "root", "steps", F.col("up").isNotNull().alias("cyclic"))
 
 
 def common_keys(rows: DataFrame, group: str, member: str, key: str) -> DataFrame:

@@ -96,7 +96,8 @@ def parse_deep(text: str):
             return result
 
 
-def _parsed(text: str):
+def read_json(text: str):
+    """The value of a JSON text: lists, ``Members`` and scalars. Raises ValueError for what is no JSON."""
     try:
         return _LOADS(text)
     except RecursionError:
@@ -106,9 +107,9 @@ def _parsed(text: str):
 def _content(text: str | None):
     """The JSON value of a text, or None: JSON within a JSON string counts as its content, however often it is wrapped."""
     try:
-        value = _parsed(text)
+        value = read_json(text)
         while isinstance(value, str):
-            value = _parsed(value)
+            value = read_json(value)
         return value
     except (TypeError, ValueError):
         return None

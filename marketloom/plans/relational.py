@@ -107,9 +107,20 @@ def fair_market_power(spark, sf_dir):
     return got.select("market", F.round("parameter", 5).alias("exponent"), F.round(F.get("probabilities", F.lit(0)), 5).alias("first_probability"))
 
 
-@query("fair_market_shin")
+_SHIN = "list_sum(list_transform(q, lambda x: (sqrt({z} * {z} + 4 * (1 - {z}) * x * x / t) - {z}) / (2 * (1 - {z}))))"
+
+
+@query(
+    "fair_market_shin",
+    f"""WITH RECURSIVE @offers, {_FULL},
+    m AS (SELECT concat_ws('|', event_id, family, period, handicap_kind, line) AS market, list(1 / odds ORDER BY selection) AS q, MAX(total) AS t FROM complete WHERE n = 3 GROUP BY ALL HAVING MAX(total) > 1),
+    s AS (SELECT market, q, t, 0e0 AS lo, 0.999999999e0 AS hi, 0 AS i FROM m UNION ALL
+          SELECT market, q, t, CASE WHEN {_SHIN.format(z="((lo + hi) / 2)")} > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_SHIN.format(z="((lo + hi) / 2)")} > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM s WHERE i < 60),
+    z AS (SELECT market, (lo + hi) / 2 AS z, list_transform(q, lambda x: (sqrt(((lo + hi) / 2) * ((lo + hi) / 2) + 4 * (1 - (lo + hi) / 2) * x * x / t) - (lo + hi) / 2) / (2 * (1 - (lo + hi) / 2))) AS p FROM s WHERE i = 60)
+    SELECT market, ROUND(z, 5) AS insiders, ROUND(p[1], 5) AS p0, ROUND(p[2], 5) AS p1, ROUND(p[3], 5) AS p2 FROM z""",
+)
 def fair_market_shin(spark, sf_dir):
-    """Shin's method on markets with three outcomes and a margin (tested against its fixed-point equation)."""
+    """Shin's method on markets with three outcomes and a margin."""
     got = _solved(spark, sf_dir, "size(best) = 3", "shin").where("parameter is not null")
     return got.select("market", F.round("parameter", 5).alias("insiders"), *[F.round(F.get("probabilities", F.lit(i)), 5).alias(f"p{i}") for i in range(3)])
 
@@ -352,7 +363,7 @@ def nth_occurrence_join(spark, sf_dir):
     f = rows.where("capture = 'F'").select("event_id", "family", "selection", "source_index", F.col("raw_record_id").alias("f_id"))
     o = rows.where("capture = 'O'").select("event_id", "family", "selection", F.col("source_index").alias("o_index"), F.col("raw_record_id").alias("o_id"))
     got = keyed.nth_occurrence_join(f, o, ["event_id", "family", "selection"], ["source_index", "f_id"], ["o_index", "o_id"])
-    return got.select("event_id", "family", "selection", F.col("occurrence").cast("bigint").alias("occurrence"), "f_id", "o_id")
+    return got.select("event_id", "family", "selection", "occurrence", "f_id", "o_id")
 
 
 @query(
@@ -441,11 +452,11 @@ def duplicate_content(spark, sf_dir):
 
 @query(
     "bridge_bijection",
-    "WITH p AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0) SELECT 'c_nationkey' AS side, CAST(c_nationkey AS VARCHAR) AS value, COUNT(*) AS partners FROM p GROUP BY c_nationkey HAVING COUNT(*) > 1 UNION ALL SELECT 'c_mktsegment', c_mktsegment, COUNT(*) FROM p GROUP BY c_mktsegment HAVING COUNT(*) > 1",
+    "WITH p AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey) SELECT 'c_nationkey' AS side, CAST(c_nationkey AS VARCHAR) AS value, COUNT(*) AS partners FROM p GROUP BY c_nationkey HAVING COUNT(*) > 1 UNION ALL SELECT 'c_mktsegment', c_mktsegment, COUNT(*) FROM p GROUP BY c_mktsegment HAVING COUNT(*) > 1",
 )
 def bridge_bijection(spark, sf_dir):
     """Values that break a one-to-one relation, of either side."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     pairs = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select("c_nationkey", "c_mktsegment")
     return keyed.not_one_to_one(pairs, "c_nationkey", "c_mktsegment")
 
@@ -465,16 +476,12 @@ def active_annotations(spark, sf_dir):
 
 @query(
     "supersession_chains",
-    "WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_id - 1 END AS before FROM events), c AS (SELECT event_id AS root, event_id AS at, 1 AS n FROM e WHERE before IS NULL UNION ALL SELECT root, e.event_id, n + 1 FROM c JOIN e ON e.before = c.at WHERE n < 20) SELECT root, MAX(n)::BIGINT AS revisions FROM c GROUP BY root",
+    "WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 40 <> 0 THEN event_id - 1 END AS before FROM events), c AS (SELECT event_id AS root, event_id AS at, 1 AS n FROM e WHERE before IS NULL OR before NOT IN (SELECT event_id FROM events) UNION ALL SELECT root, e.event_id, n + 1 FROM c JOIN e ON e.before = c.at) SELECT root, MAX(n)::BIGINT AS revisions FROM c GROUP BY root",
 )
 def supersession_chains(spark, sf_dir):
-    """Lengths of supersession chains, by a recursive query."""
-    table(spark, sf_dir, "events").select("event_id").createOrReplaceTempView("chain_events")
-    return spark.sql(
-        """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_id - 1 END AS before FROM chain_events),
-        c (root, at, n) AS (SELECT event_id, event_id, 1 FROM e WHERE before IS NULL UNION ALL SELECT root, e.event_id, n + 1 FROM c JOIN e ON e.before = c.at WHERE n < 20)
-        SELECT root, CAST(MAX(n) AS BIGINT) AS revisions FROM c GROUP BY root"""
-    )
+    """Lengths of supersession chains, by pointer doubling."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 40 != 0, F.col("event_id") - 1).alias("before"))
+    return keyed.chain_ends(rows, "event_id", "before").groupBy("root").agg((F.max("steps") + 1).alias("revisions"))
 
 
 @query("latest_revision", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, COUNT(*) AS revisions FROM events GROUP BY user_id")

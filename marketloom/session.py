@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,20 +25,32 @@ def local_session(name: str = "marketloom", cpus: str | int = "*", partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MARKETLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
+def _use_shared_folder(context) -> None:
+    """Have the context know its checkpoint folder: the one the cluster names, or on one machine a folder of its own."""
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir names no shared folder; on a cluster a folder of one machine would be lost with it")
+    if not named:
+        named = tempfile.mkdtemp(prefix="marketloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests, a laptop) a local one is made. Never a local checkpoint: a lost executor must not lose it.
+    The folder is the one named in ``spark.checkpoint.dir``. Where none is named, a local master (tests, a laptop) gets a
+    folder of its own, which goes with the process; any other master is an error. Never a local checkpoint: a
+    lost executor must not lose it. ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes what no plan refers to.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketloom-checkpoint-"))
+    _use_shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
@@ -49,8 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path in the cluster's shared checkpoint folder, for a table or a stream's progress."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marketloom-checkpoint-"))
+    _use_shared_folder(context)
     return f"{context._jsc.sc().getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -46,12 +46,20 @@ def flagged_late(rows: DataFrame, at: str, until: str) -> DataFrame:
 
 
 def correlated(requests: DataFrame, ends: DataFrame, key: str, at: str, end_at: str, wait: str, delay: str) -> DataFrame:
-    """Each request with its end within the wait; without one after it, the end is null (pending)."""
+    """Each request with its end within the wait; without one after it, the end is null (pending).
+
+    Time is cut into spans as long as the wait; an end meets the requests of its own span and the one before. So a
+    hot key meets itself span by span, in as many tasks as it has spans, and not all of it with all.
+    """
     left, right = event_time(requests, at), event_time(ends, end_at).withColumnRenamed(key, "__end_key")
     if left.isStreaming:
         left, right = left.withWatermark(at, delay), right.withWatermark(end_at, delay)
-    near = (F.col(key) == F.col("__end_key")) & (F.col(end_at) >= F.col(at)) & (F.col(end_at) <= F.col(at) + F.expr(f"INTERVAL {wait}"))
-    return left.join(right, near, "left_outer").drop("__end_key")
+    long = F.expr(f"CAST(INTERVAL {wait} AS INTERVAL SECOND)").cast("bigint")
+    span = lambda c: F.floor(F.unix_micros(F.col(c)) / (long * 1_000_000)).cast("bigint")
+    left = left.withColumn("__span", span(at))
+    right = right.withColumn("__end_span", F.explode(F.array(span(end_at), span(end_at) - 1)))
+    near = (F.col(key) == F.col("__end_key")) & (F.col("__span") == F.col("__end_span")) & (F.col(end_at) >= F.col(at)) & (F.col(end_at) <= F.col(at) + F.expr(f"INTERVAL {wait}"))
+    return left.join(right, near, "left_outer").drop("__end_key", "__span", "__end_span")
 
 
 def run_available(spark: SparkSession, folder: str, like: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from marketloom.operators import keyed
 
 SCHEMA = "k string, at int, raw_record_id string, odds double, capture string, tab string, instance string, visible boolean"
@@ -63,3 +66,29 @@ def test_occurrences_and_supersession(spark):
     assert {(r["x"], r["y"]) for r in keyed.nth_occurrence_join(left, right, ["k"], ["o"], ["p"]).collect()} == {("a", "B"), ("b", "A")}
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "i int, s int")
     assert [r["i"] for r in keyed.active_rows(rows, "i", "s").collect()] == [3]
+
+
+def test_lineage_of_another_run_is_an_error(spark):
+    rows = [("k", 1, "a", 2.0, "", "A", "", True, "r1"), ("k", 2, "b", 2.0, "", "A", "", True, "r2")]
+    df = spark.createDataFrame(rows, SCHEMA + ", run string")
+    assert keyed.fold_observations(df, ["k"], "at").first()["lineage"] == ["a", "b"]
+    with pytest.raises(Exception, match="lineage of another run"):
+        keyed.fold_observations(df, ["k"], "at", ["run"]).collect()
+    same = df.withColumn("run", F.when(F.col("raw_record_id") == "a", F.col("run")))
+    assert keyed.fold_observations(same, ["k"], "at", ["run"]).first()["lineage"] == ["a", "b"]
+
+
+def test_hot_keys_are_numbered_in_ranges(spark, monkeypatch):
+    rows = spark.createDataFrame([("hot" if i % 3 else None, (i * 37) % 101, i) for i in range(400)] + [("cool", 1, 9_000)], "k string, o int, x int")
+    plain = {(r["x"], r["n"]) for r in keyed.numbered(rows, ["k"], ["o", "x"], "n").collect()}
+    monkeypatch.setattr(keyed, "HOT_ROWS", 50)
+    assert {(r["x"], r["n"]) for r in keyed.numbered(rows, ["k"], ["o", "x"], "n").collect()} == plain
+    everywhere = sorted((r["o"], r["x"], r["n"]) for r in keyed.numbered(rows, [], ["o", "x"], "n").collect())
+    assert [n for *_, n in everywhere] == list(range(1, 402))
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1_000, 1_001), (1_001, 1_000), (1_002, 1_000), (2_000, 5_555)]
+    got = {r["row"]: r for r in keyed.chain_ends(spark.createDataFrame(rows, "i int, b int"), "i", "b").collect()}
+    assert all(got[i]["root"] == 0 and got[i]["steps"] == i and not got[i]["cyclic"] for i in range(300))
+    assert got[1_000]["cyclic"] and got[1_002]["cyclic"] and not got[2_000]["cyclic"] and got[2_000]["root"] == 2_000

@@ -19,11 +19,21 @@ def test_power_and_shin_meet_their_equations(spark):
     assert shin["f"]["parameter"] is None  # no margin
 
 
+def test_fallback_to_shares_and_roots_outside_the_bracket(spark):
+    rows = spark.createDataFrame([("a", [1.8, 3.5, 4.5], "SHIN"), ("b", [5.0, 5.0, 5.0], "SHIN"), ("c", [2.1, 1.7], "POWER"), ("d", [1.0000001, 1.0000001], "POWER"), ("e", [0.5, 2.0], "POWER"), ("f", [3.0, 3.0], None)], "m string, p array<double>, how string")
+    got = {r["m"]: r for r in numeric.devigged_or_shares(rows, "m", "p", "how").collect()}
+    assert [got[m]["method"] for m in "abcdef"] == ["SHIN", "MULTIPLICATIVE_FALLBACK", "POWER", "MULTIPLICATIVE_FALLBACK", None, "POWER"]
+    assert got["b"]["parameter"] is None and np.allclose(got["b"]["probabilities"], [1 / 3] * 3) and got["e"]["probabilities"] is None
+    assert all(abs(sum(got[m]["probabilities"]) - 1) < 1e-12 for m in "abcdf")
+    power = numeric.devigged(rows.where("m = 'd'"), "m", "p", "power").first()
+    assert power["parameter"] is None and power["probabilities"] is None
+
+
 def test_poisson_rate_inverts(spark):
-    rows = spark.createDataFrame([(2.5, 0.5), (0.5, 0.3), (2.5, 1.0), (2.5, None)], "line double, p double")
+    rows = spark.createDataFrame([(2.5, 0.5), (0.5, 0.3), (2.5, 1.0), (2.5, None), (None, 0.5)], "line double, p double")
     got = [r["rate"] for r in numeric.poisson_rates(rows, "line", "p", "rate").collect()]
     above = lambda rate, n: 1 - sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(n + 1))
-    assert abs(above(got[0], 2) - 0.5) < 1e-9 and abs(above(got[1], 0) - 0.3) < 1e-9 and got[2:] == [None, None]
+    assert abs(above(got[0], 2) - 0.5) < 1e-9 and abs(above(got[1], 0) - 0.3) < 1e-9 and got[2:] == [None, None, None]
 
 
 def test_weighted_median_and_curve(spark):

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 @F.pandas_udf(StringType())
@@ -78,6 +78,25 @@ def line_class(line: Column) -> Column:
     return F.when(part.isNull(), "INVALID").when(part == 0, "INTEGER").when(part == 0.5, "HALF").when(part.isin(0.25, 0.75), "QUARTER").otherwise("OTHER")
 
 
+@F.pandas_udf(StructType([StructField("name", StringType()), StructField("state", StringType())]))
+def _alias(said: pd.Series, names: pd.Series, least: pd.Series) -> pd.DataFrame:
+    compact = lambda t: "".join(c for c in unicodedata.normalize("NFKD", (t or "").casefold()) if c.isalnum())
+
+    def found(text: str | None, known: list, fewest: int) -> tuple[str | None, str]:
+        own, others = compact(text), [(n, compact(n)) for n in (() if known is None else known)]
+        met = [n for n, c in others if own and own == c] or [n for n, c in others if len(own) >= fewest and (c.endswith(own) or own.endswith(c))]
+        return (met[0], "ALIAS") if len(met) == 1 else (text, "AMBIGUOUS" if met else "")
+
+    return pd.DataFrame([found(*x) for x in zip(said, names, least, strict=True)], columns=["name", "state"])
+
+
+def alias_of(said: Column, names: Column, least: int = 6) -> Column:
+    """struct(name, state): the only one of the array ``names`` that is the same but for blanks, case and marks or, where none is
+    and the text has ``least`` letters, that ends in the text or in which the text ends, with state ``ALIAS``; the text
+    itself with ``AMBIGUOUS`` if several are, and with an empty state if none is."""
+    return _alias(said, names, F.lit(least))
+
+
 def signature(*parts: Column) -> Column:
     """Parts with ``|`` between them; null is empty, so that no part is skipped."""
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

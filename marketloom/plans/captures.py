@@ -38,9 +38,12 @@ def observation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("obs_id", text.collapsed(F.col("market")).alias("market"), text.column_role(F.col("market_instance_id")).alias("column_role"), F.replace(F.col("odds"), F.lit(","), F.lit(".")).try_cast("double").alias("odds"))
 
 
-@query("folded_names")
+_FOLD = r"trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce({}, '')), '[^\x00-\x7F]', '', 'g')), '\s+', ' ', 'g'))"
+
+
+@query("folded_names", f"SELECT name_id, {_FOLD.format('full_name')} AS dropped, {_FOLD.format("replace(replace(full_name, 'ł', 'l'), 'Ł', 'L')")} AS mapped FROM native_short_names")
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names folded to ASCII, in both ways (tested against plain Python)."""
+    """Names folded to ASCII, in both ways."""
     rows = table(spark, sf_dir, "native_short_names")
     return rows.select("name_id", text.ascii_folded(F.col("full_name")).alias("dropped"), text.contract_text(F.col("full_name")).alias("mapped"))
 
@@ -189,7 +192,12 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("run_id", "stored", "occurrences", "contents", "repeated_contents")
 
 
-@query("run_digests")
+@query(
+    "run_digests",
+    """WITH o AS (SELECT DISTINCT run_id, sha256(CAST(json_object('disposition', disposition, 'observation_id', observation_id, 'observation_sequence', observation_sequence, 'observed_at', observed_at, 'raw', raw_observation.raw, 'source_hash', raw_observation.source_hash) AS VARCHAR)) AS h FROM snapshot_observations),
+    p AS (SELECT run_id, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM o GROUP BY ALL)
+    SELECT run_id, sha256(string_agg(concat(part, ':', d), chr(10) ORDER BY part)) AS digest FROM p GROUP BY run_id""",
+)
 def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each run."""
     return manifests.run_manifests(_fingerprints(spark, sf_dir), "run_id", "observation_sequence").select("run_id", "digest")

@@ -243,9 +243,24 @@ def dedupe_source_fast(spark, sf_dir):
     return got.where("odds = low").drop("low")
 
 
-@query("dedupe_source_fold")
+_SAME, _ONE = "r.odds = f.odds", "(r.odds <> f.odds AND r.inst <> '' AND r.inst = f.inst AND r.vis <> f.vis)"
+_MOVED = f"(r.odds <> f.odds AND NOT {_ONE} AND ((r.capture <> '' AND f.capture <> '' AND r.capture <> f.capture) OR (r.capture = '' AND f.capture = '' AND r.tab <> f.tab)))"
+_TAKEN = f"(({_SAME} AND r.seen_at > f.seen_at) OR ({_ONE} AND r.vis) OR ({_MOVED} AND r.seen_at > f.seen_at))"
+_FOLDED = ", ".join(f"CASE WHEN {_TAKEN} THEN r.{c} ELSE f.{c} END" for c in ("seen_at", "id", "odds", "capture", "tab", "inst", "vis"))
+
+
+@query(
+    "dedupe_source_fold",
+    f"""WITH RECURSIVE @offers, r AS (SELECT event_id, family, period, handicap_kind, line, selection, concat_ws('/', event_id, family, period, handicap_kind, line, selection) AS k, source_index AS seen_at, raw_record_id AS id, odds, capture, tab, CAST(market_id AS VARCHAR) AS inst, source_index % 2 = 1 AS vis,
+      ROW_NUMBER() OVER (PARTITION BY event_id, family, period, handicap_kind, line, selection ORDER BY source_index, raw_record_id, odds) AS rn FROM offers),
+    f AS (SELECT k, rn, seen_at, id, odds, capture, tab, inst, vis, [id] AS lineage, 1 AS n, 0 AS conflicts FROM r WHERE rn = 1 UNION ALL
+      SELECT r.k, r.rn, {_FOLDED}, CASE WHEN {_SAME} THEN CASE WHEN list_contains(f.lineage, r.id) THEN f.lineage ELSE list_append(f.lineage, r.id) END WHEN {_TAKEN} THEN [r.id] ELSE f.lineage END,
+      CASE WHEN {_SAME} THEN f.n + 1 WHEN {_TAKEN} THEN 1 ELSE f.n END, CASE WHEN {_SAME} OR {_ONE} OR {_MOVED} THEN f.conflicts ELSE f.conflicts + 1 END FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1),
+    e AS (SELECT k, MAX(rn) AS rn, any_value(event_id) AS event_id, any_value(family) AS family, any_value(period) AS period, any_value(handicap_kind) AS handicap_kind, any_value(line) AS line, any_value(selection) AS selection FROM r GROUP BY k)
+    SELECT event_id, family, period, handicap_kind, line, selection, id AS raw_record_id, odds, array_to_string(lineage, ',') AS lineage, n AS representations, conflicts FROM e JOIN f USING (k, rn)""",
+)
 def dedupe_source_fold(spark, sf_dir):
-    """The ordered fold of every key (tested against a plain fold)."""
+    """The ordered fold of every key."""
     rows = _offers(spark, sf_dir).withColumns({"instance": F.col("market_id").cast("string"), "visible": F.col("source_index") % 2 == 1})
     got = keyed.fold_observations(rows, [*_KEY, "selection"], "source_index")
     return got.withColumn("lineage", F.array_join("lineage", ","))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from marketloom.functions.hashing import struct_sha256
 from marketloom.functions.text import assignments, packet_text
 from marketloom.session import materialize
 
@@ -15,18 +16,49 @@ _BROKEN = "_broken"
 def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, broken lines) of JSON lines. Blank lines are neither; a line that is no object is broken."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema.add(_BROKEN, "string") if _BROKEN not in schema.names else schema, {"columnNameOfCorruptRecord": _BROKEN}).alias("j"))
+    parsed = lines.select("value", F.from_json("value", StructType([f for f in schema.fields if f.name != _BROKEN] + [StructField(_BROKEN, StringType())]), {"columnNameOfCorruptRecord": _BROKEN}).alias("j"))
     bad = F.col("j").isNull() | F.col(f"j.{_BROKEN}").isNotNull() | ~F.trim("value").startswith("{")
     good = parsed.where(~bad).select("j.*").drop(_BROKEN)
     return good, parsed.where(bad).select(F.col("value").alias("line"))
 
 
+def read_ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a ledger of JSON lines; none where it does not exist yet. A broken line is an error."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows, broken = read_json_lines(spark, path, schema)
+    first = broken.first()
+    if first is not None:
+        raise ValueError(f"a line of the ledger is no object: {first['line'][:200]}")
+    return rows
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that a glob names, exists in its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def _digest_of(lines: DataFrame) -> tuple[int, str]:
+    """Number of lines and a digest of them in which their order has no part, in one partial aggregate."""
+    parts = lines.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.xxhash64(F.lit(i), "value").cast("decimal(20,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"d{i}") for i in (1, 2)]).first()
+    return parts["n"], f"{parts['d1']}:{parts['d2']}"
+
+
 def write_json_lines(rows: DataFrame, path: str) -> dict[str, int | str]:
-    """Write once (an existing target is an error), read again and compare the counts."""
-    rows.write.mode("errorifexists").json(path, ignoreNullFields=False)
-    spark = rows.sparkSession
-    written, wanted = spark.read.text(path).count(), rows.count()
-    return {"rows": written, "state": "PASS" if written == wanted else "FAIL"}
+    """Write once (an existing target is an error), read again and compare: rows, digest and state (PASS or FAIL).
+
+    What is written is counted and digested on its way to the files, so the rows are computed once.
+    """
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    seen = Observation()
+    hashes = [F.coalesce(F.sum(F.xxhash64(F.lit(i), "value").cast("decimal(20,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"d{i}") for i in (1, 2)]
+    lines.observe(seen, F.count("*").alias("n"), *hashes).write.mode("errorifexists").text(path)
+    wanted = (seen.get["n"], f"{seen.get['d1']}:{seen.get['d2']}")
+    written = _digest_of(rows.sparkSession.read.text(path))
+    return {"rows": written[0], "digest": written[1], "state": "PASS" if written == wanted else "FAIL"}
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
@@ -37,11 +69,8 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     spark = rows.sparkSession
     columns = sorted(rows.columns)
     single = rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
-    try:
+    if exists(spark, path):
         single = single.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-            raise
     fresh = materialize(single.select(*columns))  # read before the table changes
     count = fresh.count()
     if count:
@@ -49,6 +78,21 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     return count
 
 
+def append_artifacts(rows: DataFrame, path: str, prefix: str) -> int:
+    """Append rows under the digest of their content (``artifact_id``); return how many were new.
+
+    Nothing is ever replaced: a row whose digest the table has is the same row and is not written again.
+    """
+    return append_new(rows.withColumn("artifact_id", F.concat(F.lit(f"{prefix}:"), struct_sha256(*rows.columns))), path, "artifact_id")
+
+
+def altered_artifacts(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """The rows of a table of artifacts whose content does not have the digest under which it is stored."""
+    rows = spark.read.parquet(path)
+    content = [c for c in rows.columns if c != "artifact_id"]
+    return rows.where(F.col("artifact_id") != F.concat(F.lit(f"{prefix}:"), struct_sha256(*content)))
+
+
 def read_packets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, blocks) of packet texts, one file each: (packet, fields) and (packet, position, name, fields).
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from marketloom.functions.text import only_value
+from marketloom.operators.nested import Members, read_json
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _PRICE = re.compile(r"(?<![\d.,])([1-9]\d{0,2}[.,]\d{2})(?![\d.,])")
@@ -73,3 +78,91 @@ def dom_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "at", "dom_path", "heading", "label", "odds", "visible"])
 
     return pages.select(key, html).mapInPandas(parsed, ROWS.format(key=key, kind=dict(pages.dtypes)[key]))
+
+
+class _State(HTMLParser):
+    """Collects the text of the script that has an id."""
+
+    def __init__(self, script: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.script, self.inside, self.parts = script, False, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "script":
+            self.inside = dict(attrs).get("id") == self.script
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "script":
+            self.inside = False
+
+    def handle_data(self, data: str) -> None:
+        if self.inside:
+            self.parts.append(data)
+
+
+def embedded_objects(page: str | None, script: str = "ng-state") -> Iterator[dict]:
+    """Every object of the JSON state in a page's script, however deep, also in JSON that stands as text within it. A page
+    without such a state, or with a broken one, has none."""
+    parser = _State(script)
+    parser.feed(page or "")
+    parser.close()
+    try:
+        pending = [read_json("".join(parser.parts))]
+    except ValueError:
+        return
+    while pending:
+        item = pending.pop()
+        if isinstance(item, Members):
+            yield dict(item)
+            pending.extend(v for _, v in item)
+        elif isinstance(item, list):
+            pending.extend(item)
+        elif isinstance(item, str) and item[:1] in ("{", "["):
+            try:
+                pending.append(read_json(item))
+            except ValueError:
+                continue
+
+
+def sides_of(page: str | None, home: str | None, away: str | None, event: str | None = None) -> tuple[str, str, str] | None:
+    """(event, short name of the home side, of the away side) as a page's state gives them for the two names; None if it
+    does not, or gives several."""
+    found = set()
+    for item in embedded_objects(page):
+        sides, own = item.get("contestants"), item.get("matchId")
+        if not own or isinstance(own, list) or (event and str(own) != event) or not isinstance(sides, list) or len(sides) != 2 or not all(isinstance(s, Members) for s in sides):
+            continue
+        a, b = map(dict, sides)
+        if [a.get("name"), b.get("name")] == [home, away]:
+            found.add((str(own), *(str(s.get("shortName") or s["name"]) for s in (a, b))))
+    return found.pop() if len(found) == 1 else None
+
+
+def native_sides(pages: DataFrame, key: str, html: str, home: str, away: str) -> DataFrame:
+    """(key, event, home_short, away_short, page_sha256) of every page whose state names the two sides once. Others give no row."""
+
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, found, hashlib.sha256(page.encode()).hexdigest()) for k, page, h, a in zip(frame[key], frame[html], frame[home], frame[away], strict=True) if (found := sides_of(page, h, a))]
+            yield pd.DataFrame([(k, *found, sha) for k, found, sha in rows], columns=[key, "event", "home_short", "away_short", "page_sha256"])
+
+    return pages.select(key, html, home, away).mapInPandas(parsed, f"{key} {dict(pages.dtypes)[key]}, event string, home_short string, away_short string, page_sha256 string")
+
+
+def embedded_info(html: Column) -> dict[str, Column]:
+    """The match, its time and whether it is live, as a page's state gives them; null where it gives none or several values."""
+    live = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r'(?i)"isLive"\s*:\s*(true|false)'), 1), F.lower))
+    return {
+        "match_id": only_value(html, r'"matchId"\s*:\s*"(\d+)"'),
+        "match_time": only_value(html, r'"matchDateUtc"\s*:\s*"([^"\\]+)"'),
+        "is_live": F.when(F.size(live) == 1, F.get(live, 0) == "true"),
+    }
+
+
+def route_number(url: Column, hosts: tuple[str, ...]) -> Column:
+    """The only ``-m`` number in the path of a URL of one of the hosts; null for any other URL and for several numbers."""
+    parts = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", 1)
+    host = F.lower(F.regexp_extract(parts, r"^(?:[^@]*@)?([^:]*)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", 2)
+    found = F.regexp_extract_all(path, F.lit(r"-m(\d+)(?=$|/)"), 1)
+    return F.when(host.isin(*hosts) & (F.size(found) == 1), F.get(found, 0))

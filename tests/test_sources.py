@@ -19,7 +19,8 @@ def test_json_lines(spark, tmp_path):
 
 def test_write_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, None)], "a int, b string")
-    assert write_json_lines(rows, str(tmp_path / "out")) == {"rows": 1, "state": "PASS"}
+    report = write_json_lines(rows, str(tmp_path / "out"))
+    assert report["rows"] == 1 and report["state"] == "PASS" and report["digest"]
     with pytest.raises(Exception, match="exist"):
         write_json_lines(rows, str(tmp_path / "out"))
 

@@ -13,12 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.keyed import numbered
+from marketloom.session import materialize
+
 #: One row in so many begins a chunk.
 CHUNK_ROWS = 64
 #: Rows a bucket should hold, of all snapshots together.
 BUCKET_ROWS = 20_000
-#: Most snapshots: their numbers are broadcast.
-MOST_SNAPSHOTS = 100_000
+#: Most snapshots whose numbers are put in order in one task and broadcast; more are numbered in ranges and joined by shuffle.
+BROADCAST_SNAPSHOTS = 100_000
+
+
+def _neighbours(sizes: DataFrame, count: int) -> DataFrame:
+    """(no, prev, next) of each snapshot number."""
+    if count <= BROADCAST_SNAPSHOTS:
+        in_order = Window.orderBy("no")
+        return F.broadcast(sizes.select("no").withColumn("prev", F.lag("no").over(in_order)).withColumn("next", F.lead("no").over(in_order)))
+    placed = numbered(sizes.select("no"), [], ["no"], "place")
+    beside = lambda step, name: placed.select((F.col("place") + step).alias("place"), F.col("no").alias(name))
+    return placed.join(beside(1, "prev"), "place", "left").join(beside(-1, "next"), "place", "left").drop("place")
 
 
 def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str) -> DataFrame:
@@ -31,13 +44,11 @@ def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str)
     """
     placed = rows.where(F.col(number).isNotNull()).select(F.col(number).alias("no"), F.struct(*[F.col(k) for k in keys]).alias("key"), F.col(value).alias("value"))
     spark = rows.sparkSession
-    total = placed.count()
+    sizes = materialize(placed.groupBy("no").agg(F.count("*").alias("rows")))
+    found = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("numbers")).first()
     # More than the shuffle's partitions, else some of them would stay empty and others hold two.
-    buckets = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ROWS)
-    numbers = placed.select("no").distinct()
-    if numbers.count() > MOST_SNAPSHOTS:
-        raise ValueError(f"there are more than {MOST_SNAPSHOTS} snapshots")
-    numbers = numbers.withColumn("prev", F.lag("no").over(Window.orderBy("no"))).withColumn("next", F.lead("no").over(Window.orderBy("no")))
+    buckets = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), found["rows"] // BUCKET_ROWS)
+    numbers = _neighbours(sizes, found["numbers"])
     placed = placed.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     placed = placed.repartition("bucket")
     single = placed.groupBy("bucket", "no", "key", "h").agg(F.min(F.struct(F.col("value").isNotNull().alias("given"), F.col("value").alias("value"))).alias("v"))
@@ -51,7 +62,7 @@ def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str)
         F.sum(F.xxhash64(F.lit(7), "v", "key").cast("decimal(20,0)")).alias("d2"),
         F.collect_list(F.struct("key", F.col("v.value").alias("value"))).alias("rows"),
     )
-    chunks = chunks.join(F.broadcast(numbers), "no")
+    chunks = chunks.join(numbers, "no")
     by_place = Window.partitionBy("bucket", "anchor").orderBy("no")
     digest = F.struct("no", "n", "d1", "d2")
     before, after = F.lag(digest).over(by_place), F.lead(digest).over(by_place)
@@ -66,5 +77,5 @@ def snapshot_changes(rows: DataFrame, number: str, keys: list[str], value: str)
     side = lambda new: F.max(F.when(F.col("new") == new, F.struct(F.col("value"))))
     met = sides.groupBy("bucket", "of", "key").agg(side(True).alias("now"), side(False).alias("was"))
     kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("now.value").eqNullSafe(F.col("was.value")), "changed")
-    out = met.withColumn("change_kind", kind).where("change_kind is not null").join(F.broadcast(numbers), F.col("of") == F.col("no"))
+    out = met.withColumn("change_kind", kind).where("change_kind is not null").join(numbers, F.col("of") == F.col("no"))
     return out.select(F.col("prev").alias(f"prev_{number}"), F.col("of").alias(number), *[F.col("key")[k].alias(k) for k in keys], "change_kind")

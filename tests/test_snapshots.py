@@ -48,3 +48,9 @@ def test_nulls_ties_single_and_empty(spark):
     assert found(spark, rows) == {(1, 2, None, "m", "changed"), (1, 2, "e", None, "added")}
     assert found(spark, [(1, "e", "m", 2.0, None)]) == set()
     assert found(spark, [(None, "e", "m", 2.0, None)]) == set()
+
+
+def test_many_snapshots_are_numbered_in_ranges(spark, monkeypatch):
+    rows = [(no, "e", f"m{i}", float((no * i) % 3), None) for no in range(1, 30, 2) for i in range(6) if (no + i) % 4]
+    monkeypatch.setattr(snapshots, "BROADCAST_SNAPSHOTS", 3)
+    assert found(spark, rows) == brute(rows)

@@ -1,8 +1,9 @@
 """Free-entered values to the entries of a reference list.
 
 Each distinct token is repaired: it meets the reference's vocabulary in the symmetric-delete index, by edit
-distance; abbreviations meet it by their prefix. The corrected tokens of a value then rank the complete
-entries by soft TF-IDF. Values come as often as people typed them, so everything but the last join works
+distance; abbreviations meet it by their prefix or their consonants; words run together meet it as compounds of
+neighbouring words of a label, words broken in pieces as runs of neighbouring tokens. The corrected tokens of a value then
+rank the complete entries by soft TF-IDF. Values come as often as people typed them, so everything but the last join works
 on distinct values. The reference list is the only thing held in a task; its size is checked.
 """
 
@@ -12,6 +13,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,9 @@ from marketloom.operators.packed import BLANKS
 
 #: Least soft TF-IDF of an accepted entry, and its least lead over any other entry.
 ACCEPT, LEAD = 0.72, 0.03
+#: Most neighbouring tokens that are tried as one word that was broken; share of its likeness that a word broken or run together keeps.
+MOST_BROKEN, BROKEN = 3, 0.97
+_VOWELS = frozenset("aeiouy")
 #: Most labels of a reference list.
 MOST_LABELS = 100_000
 # Marks that stand for words.
@@ -43,70 +48,109 @@ def _label_tokens(label: str) -> list[str]:
 
 
 class Reference:
-    """The labels of one kind: their tokens, weights, and entries by token."""
+    """The labels of one kind: their words, weights, and labels by word.
+
+    A compound is several neighbouring words of a label run together; it stands for these words.
+    """
 
     def __init__(self, labels: list[tuple[int, str]]):
         self.labels = [(ref, _label_tokens(label)) for ref, label in labels]
         self.labels = [(ref, tokens) for ref, tokens in dict.fromkeys((r, tuple(t)) for r, t in self.labels) if tokens]
         entries = defaultdict(set)
         self.holders = defaultdict(set)
+        self.compounds: dict[str, set[tuple[str, ...]]] = defaultdict(set)
         for i, (ref, tokens) in enumerate(self.labels):
             for t in tokens:
                 entries[t].add(ref)
                 self.holders[t].add(i)
+            for a in range(len(tokens)):
+                for b in range(a + 2, len(tokens) + 1):
+                    self.compounds["".join(tokens[a:b])].add(tokens[a:b])
         n = len({ref for ref, _ in self.labels})
         self.idf = {t: math.log(1 + n / len(refs)) for t, refs in entries.items()}
         self.unknown = math.log(1 + n)
-        self.squeezed = defaultdict(set)
-        for ref, tokens in self.labels:
-            self.squeezed["".join(tokens)].add(ref)
+        self.prefixes, self.skeletons = defaultdict(list), defaultdict(list)
+        for word in sorted(self.idf):
+            for k in range(1, len(word)):
+                self.prefixes[word[:k]].append(word)
+            for k in range(1, 4):
+                for rest in {"".join(c) for c in combinations(word[1:], k)}:
+                    if not set(word[0] + rest) & _VOWELS:
+                        self.skeletons[word[0] + rest].append(word)
 
     def rank(self, tokens: list[str], near: dict[str, list[tuple[str, float]]]) -> int:
         """The entry that the tokens mean, or 0."""
-        alike = self._alike(tokens, near)
-        candidates = {i for words in alike for t, _ in words for i in self.holders[t]}
+        units = self._units(tokens, near)
+        candidates = {i for words, *_ in units for i in set.intersection(*(self.holders[t] for t in words))}
         scores: dict[int, float] = {}
         for i in candidates:
             ref, label = self.labels[i]
-            scores[ref] = max(scores.get(ref, 0.0), self._soft(alike, label))
+            scores[ref] = max(scores.get(ref, 0.0), self._soft(units, len(tokens), label))
         best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
         if not best or best[0][1] < ACCEPT or (len(best) > 1 and best[0][1] - best[1][1] < LEAD):
             return 0
         return best[0][0]
 
-    def _alike(self, tokens: list[str], near: dict[str, list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
-        out = []
-        for token in tokens:
-            bare = token.rstrip(".")
-            words = [(bare, 1.0)] if bare in self.idf else []
-            words += [w for w in near.get(bare, ()) if w[0] in self.idf]
-            if token.endswith(".") or not words:
-                words += [(t, 0.9 if token.endswith(".") else 0.6) for t in self.idf if t != bare and t.startswith(bare) and (token.endswith(".") or len(bare) >= 3)]
-            if not words and 2 <= len(bare) <= 4 and not set(bare) & set("aeiouy"):
-                words += [(t, 0.8) for t in self.idf if len(t) > len(bare) and _shortens(bare, t)]
-            out.append(words)
-        return out
-
-    def _soft(self, alike: list[list[tuple[str, float]]], label: tuple[str, ...]) -> float:
-        """Cosine of the two weighted token lists, a token pair weighing as much as it is alike. Each token of the
-        label is used once, by the likest token of the value."""
-        pairs = sorted(((s, -abs(k / max(1, len(alike)) - m / len(label)), k, m) for k, words in enumerate(alike) for t, s in words for m, own in enumerate(label) if own == t), reverse=True)
-        used_k, used_m, dot = set(), set(), 0.0
-        weight_k = [self.unknown] * len(alike)
-        for s, _, k, m in pairs:
-            if k not in used_k and m not in used_m:
-                used_k.add(k)
-                used_m.add(m)
-                weight_k[k] = self.idf[label[m]]
-                dot += s * weight_k[k] * self.idf[label[m]]
-        size = math.sqrt(sum(w * w for w in weight_k)) * math.sqrt(sum(self.idf[t] ** 2 for t in label))
-        return dot / size if size else 0.0
-
-
-def _shortens(short: str, word: str) -> bool:
-    """Whether consonants abbreviate a word: its first letter, then letters of it in order."""
-    rest = iter(word[1:])
-    return short[:1] == word[:1] and all(c in rest for c in short[1:])
+    def _units(self, tokens: list[str], near: dict[str, list[tuple[str, float]]]) -> list[tuple[tuple[str, ...], float, int, int]]:
+        """(words, likeness, begin, end): the label words that each token, or several neighbours run together, may stand for."""
+        out: dict[tuple[tuple[str, ...], int, int], float] = {}
+
+        def add(words: tuple[str, ...], s: float, a: int, b: int) -> None:
+            out[words, a, b] = max(s, out.get((words, a, b), 0.0))
+
+        for a, b, said in _spans(tokens):
+            for met, s in [(said, 1.0), *near.get(said, ())]:
+                if met in self.idf and b == a + 1:
+                    add((met,), s, a, b)
+                elif met in self.idf:
+                    add((met,), s * BROKEN, a, b)
+                for words in self.compounds.get(met, ()):
+                    add(words, s * BROKEN, a, b)
+        for a, token in enumerate(tokens):
+            bare, known = token.rstrip("."), any(x == a and y == a + 1 and len(w) == 1 for w, x, y in out)
+            if token.endswith(".") or (not known and len(bare) >= 3):
+                for word in self.prefixes.get(bare, ()):
+                    add((word,), 0.9 if token.endswith(".") else 0.6, a, a + 1)
+                    known = True
+            if not known and 2 <= len(bare) <= 4:
+                for word in self.skeletons.get(bare, ()):
+                    add((word,), 0.8, a, a + 1)
+        return [(words, s, a, b) for (words, a, b), s in out.items()]
+
+    def _soft(self, units: list[tuple[tuple[str, ...], float, int, int]], count: int, label: tuple[str, ...]) -> float:
+        """Cosine of the two weighted token lists, a match weighing as much as it is alike. Each token of either side is
+        used once; of all ways to do so the best counts."""
+        at = defaultdict(list)
+        for m in range(len(label)):
+            for words, s, a, b in units:
+                if label[m : m + len(words)] == words:
+                    at[a].append((b, m, len(words), s, sum(self.idf[t] ** 2 for t in words)))
+        # (used label words, tokens without a match) -> best product, after each token of the value
+        states: list[dict[tuple[int, int], float]] = [{} for _ in range(count + 1)]
+        states[0][0, 0] = 0.0
+        for k in range(count):
+            for (used, left), dot in states[k].items():
+                ways = [(k + 1, used, left + 1, dot)]
+                for b, m, n, s, weight in at[k]:
+                    bits = (1 << n) - 1 << m
+                    if not used & bits:
+                        ways.append((b, used | bits, left, dot + s * weight))
+                for b, u, n, d in ways:
+                    if d > states[b].get((u, n), -1.0):
+                        states[b][u, n] = d
+        weight = [self.idf[t] ** 2 for t in label]
+        size, best = math.sqrt(sum(weight)), 0.0
+        for (used, left), dot in states[count].items():
+            own = sum(w for m, w in enumerate(weight) if used >> m & 1) + left * self.unknown**2
+            best = max(best, dot / (math.sqrt(own) * size) if own else 0.0)
+        return best
+
+
+def _spans(tokens: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, text) of each token and of each run of up to ``MOST_BROKEN`` neighbours, without their points."""
+    for a in range(len(tokens)):
+        for b in range(a + 1, min(len(tokens), a + MOST_BROKEN) + 1):
+            yield a, b, "".join(t.rstrip(".") for t in tokens[a:b])
 
 
 def map_to_reference(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -125,35 +169,31 @@ def map_to_reference(values: DataFrame, reference: DataFrame) -> DataFrame:
     known = {kind: Reference(rows) for kind, rows in by_kind.items()}
     distinct = values.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("kind", "text").distinct()
     tokens = distinct.select("kind", "text", F.explode(F.array(_tokens(F.col("text")))).alias("tokens"))
-    squeezed = F.concat_ws("", F.transform("tokens", lambda t: F.rtrim(t, F.lit("."))))
-    words = tokens.select("kind", F.explode(F.array_union(F.transform("tokens", lambda t: F.rtrim(t, F.lit("."))), F.array(squeezed))).alias("word")).where("word <> ''").distinct()
+    bare = F.transform("tokens", lambda t: F.rtrim(t, F.lit(".")))
+    span = lambda i, n: F.when(i + n <= F.size("tokens"), F.concat_ws("", F.slice(bare, i + 1, n)))
+    at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)))
+    spans = F.array_distinct(F.array_compact(F.flatten(F.transform(at, lambda i: F.array(*[span(i, n) for n in range(1, MOST_BROKEN + 1)])))))
+    spanned = tokens.select("kind", "text", "tokens", F.explode(F.array(spans)).alias("spans"))
+    asked = spanned.select("kind", "text", "tokens", F.explode("spans").alias("a")).where(F.char_length("a") >= 4)
     spark = values.sparkSession
-    vocabulary = sorted({(kind, w) for kind, ref in known.items() for w in [*ref.idf, *ref.squeezed]})
-    near = near_pairs(words, spark.createDataFrame(vocabulary, "kind string, word string"), "word", "kind", two_from=6)
-    near = near.where((F.col("edits") > 0) & (F.char_length("a") >= 4)).groupBy("kind", "a").agg(F.collect_list(F.struct("b", "edits")).alias("near"))
-    asked = tokens.select("kind", "text", "tokens", squeezed.alias("squeezed"), F.posexplode(F.concat("tokens", F.array(squeezed))).alias("at", "t"))
-    met = asked.withColumn("a", F.rtrim("t", F.lit("."))).join(near, ["kind", "a"], "left")
-    lists = met.groupBy("kind", "text").agg(F.first("tokens").alias("tokens"), F.first("squeezed").alias("squeezed"), F.collect_list(F.when(F.col("near").isNotNull(), F.struct("a", "near"))).alias("near"))
+    vocabulary = sorted({(kind, w) for kind, ref in known.items() for w in [*ref.idf, *ref.compounds]})
+    near = near_pairs(asked.select("kind", F.col("a").alias("word")).distinct(), spark.createDataFrame(vocabulary, "kind string, word string"), "word", "kind", two_from=6)
+    near = near.where(F.col("edits") > 0).groupBy("kind", "a").agg(F.collect_list(F.struct("b", "edits")).alias("near"))
+    repairs = asked.select("kind", "text", "a").join(near, ["kind", "a"]).groupBy("kind", "text").agg(F.collect_list(F.struct("a", "near")).alias("near"))
+    lists = tokens.join(repairs, ["kind", "text"], "left")
 
     def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for kind, text, toks, whole, near in zip(frame["kind"], frame["text"], frame["tokens"], frame["squeezed"], frame["near"], strict=True):
-                out.append((kind, text, _meant(known.get(kind), list(toks), whole, near)))
+            for kind, text, toks, near in zip(frame["kind"], frame["text"], frame["tokens"], frame["near"], strict=True):
+                out.append((kind, text, _meant(known.get(kind), list(toks), near)))
             yield pd.DataFrame(out, columns=["kind", "text", "ref_id"])
 
     return lists.mapInPandas(ranked, "kind string, text string, ref_id bigint")
 
 
-def _meant(reference: Reference | None, tokens: list[str], whole: str, near) -> int:
+def _meant(reference: Reference | None, tokens: list[str], near) -> int:
     if reference is None or not tokens:
         return 0
-    edits = {row["a"]: [(n["b"], int(n["edits"])) for n in row["near"]] for row in near}
-    direct = reference.squeezed.get(whole, set())
-    if not direct:
-        close = [(e, b) for b, e in edits.get(whole, ()) if b in reference.squeezed and len(whole) >= 6]
-        least = min((e for e, _ in close), default=None)
-        direct = {ref for e, b in close if e == least for ref in reference.squeezed[b]}
-    if len(direct) == 1:
-        return next(iter(direct))
-    return reference.rank(tokens, {a: [(b, 1 - e / max(len(a), len(b))) for b, e in ns] for a, ns in edits.items()})
+    edits = {row["a"]: [(n["b"], 1 - int(n["edits"]) / max(len(row["a"]), len(n["b"]))) for n in row["near"]] for row in (() if near is None else near)}
+    return reference.rank(tokens, edits)

@@ -56,24 +56,48 @@ def deletions(word: Column, two: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, twice))
 
 
-#: Letters from which a word is near to itself only: its deletions would be too many, and no name is so long.
-LONGEST = 64
+#: Letters from which words meet by segments: their deletions would be too many.
+LONG = 24
+#: Segments of a long word. Two edits, each of them a swap over a border at worst, leave one of five as it is.
+SEGMENTS = 5
+
+
+def _segments(word: Column) -> Column:
+    """(length, number, text) of each segment of a long word."""
+    n = F.char_length(word)
+    begin = lambda i: F.floor(n * i / SEGMENTS)
+    return F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(word, (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("t")) for i in range(SEGMENTS)])
+
+
+def _probes(word: Column) -> Column:
+    """(length, number, text) of each segment that a word at most two edits away may have left as it is."""
+    out = []
+    for more in range(-2, 3):
+        n = F.char_length(word) + more
+        for i in range(SEGMENTS):
+            begin, end = F.floor(n * i / SEGMENTS), F.floor(n * (i + 1) / SEGMENTS)
+            out += [F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(word, F.greatest(begin + 1 + by, F.lit(1)).cast("int"), (end - begin).cast("int")).alias("t")) for by in range(-2, 3)]
+    return F.array_distinct(F.array(*out))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, word: str, block: str, two_from: int = 8) -> DataFrame:
     """(block, a, b, edits) of the words of ``left`` and ``right`` that are near: at most one edit apart, or two
-    from ``two_from`` letters on. Both sides: distinct (block, word). They meet in the index of deletions, by
-    the hash of block and deletion, so that no list of words is compared with another. Words of ``LONGEST``
-    letters or more are near to themselves only.
+    from ``two_from`` letters on. Both sides: distinct (block, word). Words meet by the hash of block and deletion, long ones
+    by the hash of block and segment, so that no list of words is compared with another. As words are distinct, only so many
+    can share a deletion as the alphabet allows: no key is hot. Words of any length are near to others.
     """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame, name: str, probes: bool) -> DataFrame:
         w = F.col(word)
-        short = F.char_length(w) < LONGEST
-        key = F.explode(F.when(short, deletions(w, F.char_length(w) >= two_from)).otherwise(F.array(w))).alias("d")
-        return df.select(block, w.alias(name), key).select(block, name, F.xxhash64(block, "d").alias("d"))
-
-    met = keyed(left, "a").join(keyed(right, "b"), [block, "d"]).select(block, "a", "b").distinct()
+        # A fixed number of parts: words are few bytes, and their keys are many.
+        spread = df.select(block, word).repartition(parts, word)
+        short = spread.where(F.char_length(w) < LONG + 2).select(block, w.alias(name), F.explode(deletions(w, F.char_length(w) >= two_from)).alias("d")).select(block, name, F.xxhash64(F.lit(0), block, "d").alias("d"))
+        met = F.explode(_probes(w) if probes else _segments(w)).alias("d")
+        long = spread.where(F.char_length(w) >= LONG).select(block, w.alias(name), met).select(block, name, F.xxhash64(F.lit(1), block, "d").alias("d"))
+        return short.unionByName(long)
+
+    met = keyed(left, "a", True).join(keyed(right, "b", False), [block, "d"]).select(block, "a", "b").distinct()
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

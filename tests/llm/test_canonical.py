@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from marketloom.llm.canonical import map_to_reference
 from marketloom.llm.spelling import deletions, near_pairs, osa
 
@@ -43,3 +45,31 @@ def test_distance_and_index_against_brute_force(spark):
     from pyspark.sql import functions as F
 
     assert sorted(df.where("word = 'ab'").select(deletions(F.col("word"), F.lit(False)).alias("d")).first()["d"]) == ["a", "ab", "b"]
+
+
+def test_words_run_together_and_broken(spark):
+    reference = spark.createDataFrame([("F", 1, "GOALS_OU"), ("F", 2, "GOAL_RANGE"), ("F", 3, "HALF_FULL_RESULT"), ("F", 4, "TEAM_TOTALS_AWAY"), ("F", 5, "TEAM_TOTALS_HOME")], "kind string, ref_id bigint, label string")
+    typed = {"goalsou": 1, "GOAL_SOU": 1, "GOALSOOU": 1, "halffullresult": 3, "half ull result": 3, "TEAM_TOTALS_AAY": 4, "teamtotalshome": 5, "TEAM TOTALS": 0, "goal": 0}
+    values = spark.createDataFrame([("F", t) for t in typed], "kind string, text string")
+    assert {r["text"]: r["ref_id"] for r in map_to_reference(values, reference).collect()} == typed
+
+
+def test_long_words_meet_by_segments(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcd", k=n)) for n in (20, 23, 24, 25, 26, 30, 64, 90, 200) for _ in range(4)]
+    typed = []
+    for w in words:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                i = rng.randrange(len(x) - 1)
+                match rng.randrange(4):
+                    case 0: x[i : i + 1] = []
+                    case 1: x.insert(i, "e")
+                    case 2: x[i] = "f"
+                    case _: x[i], x[i + 1] = x[i + 1], x[i]
+            typed.append("".join(x))
+    frame = lambda xs: spark.createDataFrame([("b", x) for x in sorted(set(xs))], "block string, word string")
+    got = {(r["a"], r["b"]): r["edits"] for r in near_pairs(frame(typed), frame(words), "word", "block").collect()}
+    want = {(a, b): osa(a, b, 2) for a in set(typed) for b in set(words) if osa(a, b, 2) <= 2}
+    assert got == want and len({e for e in got.values()}) == 3

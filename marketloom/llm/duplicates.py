@@ -9,10 +9,15 @@ share the fingerprint are grouped again by their exact fields.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from marketloom.operators.packed import BLANKS, Packing, blocks, unquoted
+from marketloom.session import materialize
 
 # Stand-ins for the marks that carry meaning, from the private use area.
 _MARK, _MINUS, _PLUS = "\ue001", "\ue002", "\ue003"
@@ -49,11 +54,30 @@ def _sum_of(name: str, values: Column, seed: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + one(v))
 
 
+@F.pandas_udf(BooleanType())
+def _counted_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([Counter(x) == Counter(y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+#: Values from which two lists are counted in one pass each; shorter ones are compared inside the JVM. The result is the same.
+LONG_LIST = 100
+
+
 def _same_multiset(a: Column, b: Column) -> Column:
-    """Equal as multisets: by counting, and only for very many values by sorting."""
+    """Equal as multisets, by counting: neither list is sorted."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     counted = F.forall(a, lambda x: times(a, x) == times(b, x))
-    return (F.size(a) == F.size(b)) & F.when(a == b, True).when(F.size(a) <= 100, counted).otherwise(F.array_sort(a) == F.array_sort(b))
+    return (F.size(a) == F.size(b)) & F.when(a == b, True).otherwise(counted)
+
+
+#: Members of a group from which they are dealt to several tasks.
+HOT_MEMBERS = 100_000
+#: Most ids or groups that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
 def duplicate_groups(rows: DataFrame, row_id: str, key: str, texts: list[str], numbers: list[str], packed: dict[str, Packing]) -> DataFrame:
@@ -63,14 +87,12 @@ def duplicate_groups(rows: DataFrame, row_id: str, key: str, texts: list[str], n
     ``texts``; as numbers in ``numbers``; as multisets of values in ``packed``. Null equals empty in
     every field, so rows of which all fields are empty are copies of each other. Rows without an id are
     left out. An empty table gives no rows; so does one without copies.
+
+    The fields of all rows are normalised once, for the fingerprints, which are kept without them; those of rows whose fingerprint
+    comes several times are normalised once more, to be verified.
     """
     fields = {key: F.coalesce(F.col(key).cast("string"), F.lit(""))} | {c: plain(F.col(c)) for c in texts} | {c: plain_number(F.col(c)) for c in numbers}
     lists = {c: plain_values(F.col(c), how) for c, how in packed.items()}
-    ready = rows.where(F.col(row_id).isNotNull()).select(
-        F.col(row_id).alias("id"), F.struct(*[v.alias(f"s{i}") for i, v in enumerate(fields.values())], *[v.alias(f"v{i}") for i, v in enumerate(lists.values())]).alias("f")
-    )
-    # The array of a generator is a barrier: the fields are computed once, not once for each use.
-    ready = ready.select("id", F.explode(F.array("f")).alias("f"))
 
     def fingerprint(seed: int) -> Column:
         total = F.lit(0).cast("bigint")
@@ -80,21 +102,40 @@ def duplicate_groups(rows: DataFrame, row_id: str, key: str, texts: list[str], n
             total = total + _sum_of(name, F.col("f")[f"v{i}"], seed)
         return total
 
-    hashed = ready.select("id", "f", fingerprint(1).alias("h1"), fingerprint(2).alias("h2"))
-    least = hashed.groupBy("h1", "h2").agg(F.min_by("f", "id").alias("kept"), F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = hashed.join(least, ["h1", "h2"]).where(F.col("id") > F.col("keep_id"))
-    same = F.lit(True)
+    def hashed(some: DataFrame) -> DataFrame:
+        ready = some.select(F.col(row_id).alias("id"), F.struct(*[v.alias(f"s{i}") for i, v in enumerate(fields.values())], *[v.alias(f"v{i}") for i, v in enumerate(lists.values())]).alias("f"))
+        # The array of a generator is a barrier: the fields are computed once, not once for each use.
+        return ready.select("id", F.explode(F.array("f")).alias("f")).select("id", "f", fingerprint(1).alias("h1"), fingerprint(2).alias("h2"))
+
+    given = rows.where(F.col(row_id).isNotNull()).select(row_id, key, *texts, *numbers, *packed)
+    prints = materialize(hashed(given).select("id", "h1", "h2"))
+    groups = materialize(prints.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / HOT_MEMBERS).cast("int")))
+    size = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
+    wanted = prints.join(_small(groups.select("h1", "h2"), size["groups"]), ["h1", "h2"], "left_semi").select(F.col("id").alias(row_id)).distinct()
+    members = hashed(given.join(_small(wanted, size["members"]), row_id, "left_semi"))
+    members = materialize(members.join(_small(groups.select("h1", "h2", "cuts"), size["groups"]), ["h1", "h2"]))
+    least = members.groupBy("h1", "h2").agg(F.min_by("f", "id").alias("kept"), F.min("id").alias("keep_id"), F.max("cuts").alias("cuts"))
+    # Of a hot group every piece of its members meets a copy of the kept row.
+    least = least.select("h1", "h2", "kept", "keep_id", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    met = members.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).join(least, ["h1", "h2", "cut"]).where(F.col("id") > F.col("keep_id"))
+    same, long = F.lit(True), F.lit(False)
     for i in range(len(fields)):
         same = same & (F.col("f")[f"s{i}"] == F.col("kept")[f"s{i}"])
     for i in range(len(lists)):
-        same = same & _same_multiset(F.col("f")[f"v{i}"], F.col("kept")[f"v{i}"])
-    met = met.withColumn("same", same)
+        a, b = F.col("f")[f"v{i}"], F.col("kept")[f"v{i}"]
+        same = same & ((F.size(a) > LONG_LIST) | _same_multiset(a, b))
+        long = long | (F.size(a) > LONG_LIST)
+    verified = met.withColumns({"same": same, "long": long})
+    by_count = verified.where("same and long")
+    for i in range(len(lists)):
+        by_count = by_count.withColumn("same", F.col("same") & _counted_alike(F.col("f")[f"v{i}"], F.col("kept")[f"v{i}"]))
+    judged = materialize(verified.where("not (same and long)").unionByName(by_count).select("id", "keep_id", "same", F.when(~F.col("same"), F.col("f")).alias("f")))
     # Equal fingerprints of unequal fields: the exact fields decide among those that differ from the kept one.
     exact = F.struct(*[F.col("f")[f"s{i}"] for i in range(len(fields))], *[F.array_sort(F.col("f")[f"v{i}"]) for i in range(len(lists))])
-    others = met.where(~F.col("same")).select("id", exact.alias("x"))
+    others = judged.where(~F.col("same")).select("id", exact.alias("x"))
     firsts = others.groupBy("x").agg(F.min("id").alias("keep_id"))
     rest = others.join(firsts, "x").where(F.col("id") > F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
-    return met.where("same").select("keep_id", F.col("id").alias("copy_id")).unionByName(rest)
+    return judged.where("same").select("keep_id", F.col("id").alias("copy_id")).unionByName(rest)
 
 
 def copy_counts(pairs: DataFrame) -> DataFrame:

@@ -21,14 +21,16 @@ def _plain(column: str) -> str:
     return out
 
 
-ORACLES: dict[str, str] = {
-    "p4_found": f"""
+_GROUPS = f"""
 WITH r AS (SELECT obs_id, coalesce(run_id, '') AS run_id, {_plain("market")} AS market, {_plain("selection")} AS selection,
     coalesce(CAST(TRY_CAST(replace(trim(odds), ',', '.') AS DECIMAL(38, 12)) AS VARCHAR), {_plain("odds")}) AS odds,
     regexp_extract_all(coalesce(heading_path, ''), '((?:"(?:[^"]|"")*"|[^">»→|;])+)', 1) AS parts FROM headerless_rows),
 k AS (SELECT obs_id, run_id, market, selection, odds, list_sort(list_filter(list_transform(parts, lambda x: {_plain("x")}), lambda x: x <> '')) AS heading FROM r),
-g AS (SELECT obs_id, MIN(obs_id) OVER (PARTITION BY run_id, market, selection, odds, heading) AS keep_obs_id FROM k)
-SELECT keep_obs_id, obs_id FROM g WHERE keep_obs_id < obs_id""",
+g AS (SELECT obs_id, MIN(obs_id) OVER (PARTITION BY run_id, market, selection, odds, heading) AS keep_obs_id FROM k)"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"{_GROUPS} SELECT keep_obs_id, obs_id FROM g WHERE keep_obs_id < obs_id",
+    "p4_copies": f"{_GROUPS} SELECT keep_obs_id, COUNT(*) AS copies FROM g GROUP BY keep_obs_id HAVING COUNT(*) > 1",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS said FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.canonical import map_to_reference
-from marketloom.llm.duplicates import duplicate_groups
+from marketloom.llm.duplicates import copy_counts, duplicate_groups
 from marketloom.llm.leakage import leaked_passages
 from marketloom.llm.mojibake import restored_texts
 from marketloom.llm.names import link_names, linked_pairs
@@ -53,6 +53,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("keep_id").alias("keep_obs_id"), F.col("copy_id").alias("obs_id"))
 
 
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kept quote with the number of its copies, itself among them."""
+    return copy_counts(p4_found(spark, sf_dir).select(F.col("keep_obs_id").alias("keep_id"), F.col("obs_id").alias("copy_id"))).select(F.col("keep_id").alias("keep_obs_id"), "copies")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -79,4 +84,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.md5("restored"), F.lit("")).alias("restored_md5")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_copies": p4_copies, "p8_ids": p8_ids, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found}

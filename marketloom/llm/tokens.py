@@ -1,7 +1,7 @@
 """Encoding of a corpus with a byte-level BPE tokenizer.
 
-A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from its
-own start; where a chunk and its predecessor first agree on a boundary inside their overlap, both go on
+A text longer than a chunk is cut into chunks that overlap: short chunks within a task, and for texts longer than a
+long chunk also long ones, each a row of its own. Chunks are pre-tokenised by themselves, each from its own start; where a chunk and its predecessor first agree on a boundary inside their overlap, both go on
 alike, so there they are stitched. The pieces between two stitches are encoded in parallel and
 concatenated. A text in which some overlap holds no common boundary (one word longer than an overlap) is
 pre-tokenised whole. Vocabulary files are read where they are installed, never copied.
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from marketloom.session import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 100_000
-OVERLAP_CHARS = 2_000
+#: Characters of a chunk and of its overlap with the next one, where all chunks of a text are of one task.
+CHUNK_CHARS, OVERLAP_CHARS = 1_000, 120
+#: The same where each chunk is a row of its own, for texts longer than such a chunk.
+SPREAD_CHARS, SPREAD_OVERLAP = 100_000, 2_000
 
 
 def default_vocabulary() -> str:
@@ -44,10 +46,17 @@ def encoding(path: str):
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
-    """Starts of the pre-tokens of a text, and its end."""
+    """Starts of the pre-tokens of a text, and its end. Blanks are those of Unicode, as the tokenizer has them."""
     import regex
 
-    return [m.start() for m in regex.finditer(pattern, text)] + [len(text)]
+    exact = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    return [m.start() for m in regex.finditer(exact, text)] + [len(text)]
+
+
+def proven(text: str, at: list[int], whole: bool) -> list[int]:
+    """The boundaries at which a text may be parted: not behind a blank, as blanks are grouped by what follows them, and
+    not the last two of a text that is cut off, as its last pre-tokens may go on."""
+    return [x for x in (at if whole else at[:-2]) if x and not text[x - 1].isspace()]
 
 
 def stitch(before: list[int], after: list[int]) -> int | None:
@@ -56,26 +65,54 @@ def stitch(before: list[int], after: list[int]) -> int | None:
     return next((x for x in after if x in known), None)
 
 
+def pieces_of(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """The pieces of a text between the places where its chunks are stitched; the text itself where some do not meet again."""
+    overlap = min(overlap, chunk)
+    cuts, before = [0], proven(text, boundaries(text[: chunk + overlap], pattern), chunk + overlap >= len(text))
+    for start in range(chunk, len(text), chunk):
+        part = text[start : start + chunk + overlap]
+        tails = [x for x in before if x >= start]
+        after = [start + x for x in boundaries(part, pattern)]
+        met = stitch(tails, [x for x in after if x < start + overlap])
+        if met is None:
+            if start + overlap >= len(text):
+                break  # the part before holds all that is left
+            return [text]
+        cuts.append(met)
+        before = proven(text, after, start + chunk + overlap >= len(text))
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def encode_text(text: str | None, path: str, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
+    """Ids of one text, by overlapping chunks."""
+    known = encoding(path)
+    if not text or len(text) <= chunk:
+        return known.encode_ordinary(text) if text else []
+    return [i for piece in pieces_of(text, pattern, chunk, overlap) for i in known.encode_ordinary(piece)]
+
+
 def decode(ids: list[int], path: str | None = None) -> str:
     """The text of ids: their raw bytes, joined and read as UTF-8."""
     known = encoding(path or default_vocabulary())
     return b"".join(known.decode_single_token_bytes(i) for i in ids).decode("utf-8")
 
 
-def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None = None, chunk: int = SPREAD_CHARS, overlap: int = SPREAD_OVERLAP) -> DataFrame:
     """(doc_id, ids) of each row, without special tokens and without changing the text.
 
     Null and empty texts give the empty list. Rows that repeat an id are equal to each other or else, where
-    the text is longer than a chunk, undefined. Characters that UTF-8 cannot hold do not occur in Spark strings.
+    the text is longer than ``chunk``, undefined. Characters that UTF-8 cannot hold do not occur in Spark strings. Texts
+    longer than ``CHUNK_CHARS`` are cut and stitched within a task, those longer than ``chunk`` over many.
     """
-    path = vocabulary or default_vocabulary()
+    import public_tokenizers
+
+    path, pattern = vocabulary or default_vocabulary(), public_tokenizers.PATTERN
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
     kind = dict(rows.dtypes)["doc"]
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = encoding(path)
         for frame in frames:
-            yield pd.DataFrame({"doc": frame["doc"], "ids": [known.encode_ordinary(t) if t else [] for t in frame["body"]]})
+            yield pd.DataFrame({"doc": frame["doc"], "ids": [encode_text(t, path, pattern) for t in frame["body"]]})
 
     long = F.coalesce(F.char_length("body"), F.lit(0)) > chunk
     short = rows.where(~long).mapInPandas(whole, f"doc {kind}, ids array<int>")
@@ -93,16 +130,13 @@ def _encode_long(rows: DataFrame, doc_id: str, text: str, path: str, chunk: int,
             heads, tails = [], []
             for no, part, last in zip(frame["no"], frame["part"], frame["last"], strict=True):
                 at = boundaries(part, pattern)
-                # The last pre-tokens of a cut part may go on behind it: its final boundaries prove nothing.
-                sure = at if last else at[:-2]
                 heads.append([no * chunk + x for x in at if x < overlap])
-                tails.append([no * chunk + x for x in sure if x >= chunk])
+                tails.append([no * chunk + x for x in proven(part, at, last) if x >= chunk])
             yield frame.assign(heads=heads, tails=tails)
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = encoding(path)
         for frame in frames:
-            ids = [known.encode_ordinary(part[int(a) : int(b)]) for part, a, b in zip(frame["part"], frame["a"], frame["b"], strict=True)]
+            ids = [encode_text(part[int(a) : int(b)], path, pattern) for part, a, b in zip(frame["part"], frame["a"], frame["b"], strict=True)]
             yield pd.DataFrame({doc_id: frame[doc_id], "no": frame["no"], "ids": ids})
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

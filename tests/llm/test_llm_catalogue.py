@@ -14,6 +14,7 @@ COLUMNS = {
     "p1_classes": {"record": "bigint", "name_class": "bigint", "links": "bigint"},
     "p3_found": {"field_name": "string", "record_id": "bigint", "ref_id": "bigint"},
     "p4_found": {"keep_obs_id": "bigint", "obs_id": "bigint"},
+    "p4_copies": {"keep_obs_id": "bigint", "copies": "bigint"},
     "p8_ids": {"doc_id": "bigint", "ids": "array<int>"},
     "p9_found": {"doc_id": "bigint", "item_id": "bigint"},
     "p9_reparameterised": {"doc_id": "bigint", "item_id": "bigint"},

@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 pytest.importorskip("tiktoken")
-pytest.importorskip("public_tokenizers")
-from marketloom.llm.tokens import boundaries, decode, default_vocabulary, encode_corpus, encoding, stitch  # noqa: E402
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from marketloom.llm.tokens import boundaries, decode, default_vocabulary, encode_corpus, encoding, pieces_of, stitch  # noqa: E402
 
 
 def encoded(spark, rows, **size):
@@ -49,3 +51,22 @@ def test_boundaries_meet():
     text = "one two three four five"
     whole, tail = boundaries(text, public_tokenizers.PATTERN), [5 + x for x in boundaries(text[5:], public_tokenizers.PATTERN)]
     assert stitch(whole, tail) == 7 and stitch([1], [2]) is None
+
+
+TEXTS = st.text(st.sampled_from("ab cż1 \n\n\t.'’sS日本🙂\u0301-\x1c\x85\u3000"), min_size=0, max_size=400)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(5, 60), st.integers(3, 40))
+def test_stitched_pieces_give_the_ids_of_the_whole(text, chunk, overlap):
+    pattern = public_tokenizers.PATTERN
+    pieces = pieces_of(text, pattern, chunk, overlap)
+    assert "".join(pieces) == text
+    known = encoding(default_vocabulary())
+    assert [i for p in pieces for i in known.encode_ordinary(p)] == known.encode_ordinary(text)
+
+
+def test_most_long_texts_are_cut():
+    text = "Suma bramek w meczu 2.5, powyżej albo poniżej. " * 100
+    assert len(pieces_of(text, public_tokenizers.PATTERN, 1_000, 120)) >= 4
+    assert pieces_of("x" * 5_000, public_tokenizers.PATTERN, 1_000, 120) == ["x" * 5_000]

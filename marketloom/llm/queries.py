@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.canonical import map_to_reference
 from marketloom.llm.duplicates import copy_counts, duplicate_groups
-from marketloom.llm.leakage import leaked_passages
+from marketloom.llm.leakage import leaked_passages, reparameterised_passages
 from marketloom.llm.mojibake import restored_texts
 from marketloom.llm.names import link_names, linked_pairs
 from marketloom.llm.tokens import encode_corpus
@@ -63,19 +63,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, find) -> DataFrame:
     items = table(spark, sf_dir, "eval_items").select("item_id", F.col("text").alias("item_text"))
-    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "item_text")
+    return find(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "item_text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of an item."""
-    return _leaks(spark, sf_dir).where("verbatim").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, leaked_passages).where("verbatim").select("doc_id", "item_id")
 
 
 def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's passage only with other numbers, names or units."""
-    return _leaks(spark, sf_dir).where("consistent and not verbatim").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, reparameterised_passages).where("consistent and not verbatim").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,23 +25,29 @@ def fold(text: str) -> str:
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) from a to b; ``most`` + 1 if there are more."""
+    """Edits (insert, delete, replace, swap of neighbours) from a to b; ``most`` + 1 if there are more.
+
+    Only the band of places that so many edits can reach is looked at, so long words cost no more than their length.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    far = most + 1
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
+        now = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            cost = min(last.get(j, far) + 1, now.get(j - 1, far) + 1, last.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            now.append(cost)
-        if min(now) > most:
-            return most + 1
+                cost = min(cost, before.get(j - 2, far) + 1)
+            now[j] = cost
+        if not now or min(now.values()) > most:
+            return far
         before, last = last, now
-    return min(last[-1], most + 1)
+    return min(last.get(len(b), far), far)
 
 
 def _without_one(word: Column) -> Column:

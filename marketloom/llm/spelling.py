@@ -68,22 +68,24 @@ LONG = 24
 SEGMENTS = 5
 
 
+def _segment(word: Column, length: Column, number: Column, by: Column) -> Column:
+    """(length, number, text) of a segment of words that long, read ``by`` places further on."""
+    begin, end = F.floor(length * number / SEGMENTS), F.floor(length * (number + 1) / SEGMENTS)
+    text = F.substr(word, F.greatest(begin + 1 + by, F.lit(1)).cast("int"), (end - begin).cast("int"))
+    return F.struct(length.alias("n"), number.alias("i"), text.alias("t"))
+
+
 def _segments(word: Column) -> Column:
     """(length, number, text) of each segment of a long word."""
-    n = F.char_length(word)
-    begin = lambda i: F.floor(n * i / SEGMENTS)
-    return F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(word, (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("t")) for i in range(SEGMENTS)])
+    return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: _segment(word, F.char_length(word), i, F.lit(0)))
 
 
 def _probes(word: Column) -> Column:
-    """(length, number, text) of each segment that a word at most two edits away may have left as it is."""
-    out = []
-    for more in range(-2, 3):
-        n = F.char_length(word) + more
-        for i in range(SEGMENTS):
-            begin, end = F.floor(n * i / SEGMENTS), F.floor(n * (i + 1) / SEGMENTS)
-            out += [F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(word, F.greatest(begin + 1 + by, F.lit(1)).cast("int"), (end - begin).cast("int")).alias("t")) for by in range(-2, 3)]
-    return F.array_distinct(F.array(*out))
+    """(length, number, text) of each segment that a word at most two edits away may have left as it is: lengths and places
+    differ from the word's own by up to two."""
+    ways = F.sequence(F.lit(0), F.lit(25 * SEGMENTS - 1))  # one small expression, not one for each way
+    number = lambda x, size, of: F.pmod(F.floor(x / of), F.lit(size)).cast("int")
+    return F.array_distinct(F.transform(ways, lambda x: _segment(word, F.char_length(word) + number(x, 5, 1) - 2, number(x, SEGMENTS, 25), number(x, 5, 5) - 2)))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, word: str, block: str, two_from: int = 8) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.spelling import fold, folded, near_pairs
 from marketloom.operators.packed import BLANKS
+from marketloom.session import materialize
 
 #: Least soft TF-IDF of an accepted entry, and its least lead over any other entry.
 ACCEPT, LEAD = 0.72, 0.03
@@ -173,14 +174,15 @@ def map_to_reference(values: DataFrame, reference: DataFrame) -> DataFrame:
     span = lambda i, n: F.when(i + n <= F.size("tokens"), F.concat_ws("", F.slice(bare, i + 1, n)))
     at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)))
     spans = F.array_distinct(F.array_compact(F.flatten(F.transform(at, lambda i: F.array(*[span(i, n) for n in range(1, MOST_BROKEN + 1)])))))
-    spanned = tokens.select("kind", "text", "tokens", F.explode(F.array(spans)).alias("spans"))
+    # Distinct values are few against the rows they come from, which are read once.
+    spanned = materialize(tokens.select("kind", "text", "tokens", F.explode(F.array(spans)).alias("spans")))
     asked = spanned.select("kind", "text", "tokens", F.explode("spans").alias("a")).where(F.char_length("a") >= 4)
     spark = values.sparkSession
     vocabulary = sorted({(kind, w) for kind, ref in known.items() for w in [*ref.idf, *ref.compounds]})
     near = near_pairs(asked.select("kind", F.col("a").alias("word")).distinct(), spark.createDataFrame(vocabulary, "kind string, word string"), "word", "kind", two_from=6)
     near = near.where(F.col("edits") > 0).groupBy("kind", "a").agg(F.collect_list(F.struct("b", "edits")).alias("near"))
     repairs = asked.select("kind", "text", "a").join(near, ["kind", "a"]).groupBy("kind", "text").agg(F.collect_list(F.struct("a", "near")).alias("near"))
-    lists = tokens.join(repairs, ["kind", "text"], "left")
+    lists = spanned.select("kind", "text", "tokens").join(repairs, ["kind", "text"], "left")
 
     def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marketloom.operators import packed
 from marketloom.operators.packed import DOM_PATH, HEADING_PATH, RECORD_IDS, Packing, _posteriors, _viterbi, arcs, atoms, spelled, split_packed
 
 HOW = {"h": HEADING_PATH, "d": DOM_PATH, "r": RECORD_IDS}
@@ -105,3 +106,10 @@ def test_expectations_sum_to_the_atoms_of_the_text():
 def test_atoms_round_trip(values, mark):
     text = mark.join(values)
     assert [text[i:j] for i, j in atoms(text, RECORD_IDS)] == values
+
+
+def test_joined_by_shuffle_as_by_broadcast(spark, monkeypatch):
+    rows = [("c", i, t) for i, t in enumerate(["London New York Paris", '"New York" Oslo', "Paris", "New York", "Oslo London", None, "New Paris"])]
+    want = pieces(spark, rows, {"c": Packing(" ")})
+    monkeypatch.setattr(packed, "BROADCAST_ROWS", 0)
+    assert pieces(spark, rows, {"c": Packing(" ")}) == want and want["c", 0] == ["London", "New York", "Paris"] and want["c", 6] == ["New", "Paris"]

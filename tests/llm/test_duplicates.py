@@ -48,3 +48,11 @@ def test_plain(spark):
     got = [r["p"] for r in rows.select(plain(F.col("t")).alias("p")).collect()]
     assert got[0].replace("", ".") == "2połowa1.5x" and got[2] == ""
     assert got[1].replace("", "+") == "a³+2423"
+
+
+def test_hot_groups_are_dealt_and_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "HOT_MEMBERS", 7)
+    monkeypatch.setattr(duplicates, "BROADCAST_ROWS", 0)
+    rows = [(i, "r", "Hot!" if i % 2 else "hot", "s", "2.0", " > ".join(f"h{(j + i) % 150}" for j in range(150)), None) for i in range(60)] + [(100 + i, "r", f"m{i}", "s", "2.0", "A", None) for i in range(5)]
+    assert found(spark, rows) == {(0, i) for i in range(1, 60)}
+    assert found(spark, [(1, "r", "m", "s", "2", "A", None)] * 2 + [(2, "r", "m", "s", "2", "A", None)]) == {(1, 2)}

@@ -142,3 +142,10 @@ def test_pointers_are_followed_to_the_end(spark):
     nodes = spark.createDataFrame([(i, 100 + i) for i in range(42)], "node bigint, told bigint")
     got = {r["node"]: (r["root"], r["told"]) for r in names._followed(nodes, 42, chain).collect()}
     assert got == {i: (40, 140) for i in range(41)} | {41: (41, 141)}
+
+
+def test_small_tables_joined_by_shuffle_as_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"run{i}", [n, None], False) for i, n in enumerate(["Bob Langstromer", "Robert Langstromer", "Langstromer R", "Robert Langstormer", "Wawerograd", "FC Wawerograd", "Wawergorad"])]
+    want = classes(spark, rows)
+    monkeypatch.setattr(names, "BROADCAST_ROWS", 0)
+    assert classes(spark, rows) == want and len(set(want.values())) == 2

@@ -164,3 +164,26 @@ def id_algebra(raw: DataFrame, accepted: DataFrame, quarantined: DataFrame, row_
     flags = parts.groupBy(row_id).agg(*[F.max(n).alias(n) for n in "raq"])
     count = lambda cond: F.coalesce(F.sum(F.expr(f"CASE WHEN {cond} THEN 1 ELSE 0 END")), F.lit(0)).cast("bigint")
     return flags.agg(count("r = 1").alias("raw"), count("a = 1").alias("accepted"), count("q = 1").alias("quarantined"), count("a = 1 AND q = 1").alias("overlap"), count("r = 1 AND a = 0 AND q = 0").alias("unaccounted"), count("r = 0").alias("foreign_ids"))
+
+
+def resolved_by_evidence(rows: DataFrame, evidence: DataFrame, row_id: str, link: str, value: str, context: list[str], unknown: str) -> DataFrame:
+    """(row_id, value, state, foreign) of each row: its value, told by evidence that is linked to it where it is unknown.
+
+    rows: row_id, link, value, context; evidence: link, value, context, each of them once or often. Evidence counts where it
+    agrees with the row in every column of the context, null being empty; other evidence of the same link is foreign and only
+    counted. State: PRESERVED, or CONFLICT where the evidence says otherwise; RESOLVED where all evidence of an unknown row says
+    the same; EVIDENCE_CONFLICT where it does not; NO_EVIDENCE. Null, and ``unknown``, is an unknown value. Evidence combines by
+    link, context and value before the join, so a link that is met very often is no hot key.
+    """
+    same = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    told = evidence.where(F.col(value).isNotNull() & (F.col(value) != unknown) & F.col(link).isNotNull())
+    told = told.groupBy(F.col(link).alias("__link"), F.struct(*[same(c).alias(c) for c in context]).alias("__context")).agg(F.count("*").alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    own = rows.select(row_id, F.col(link).alias("__link"), F.col(value).alias("__value"), F.struct(*[same(c).alias(c) for c in context]).alias("__own"))
+    met = own.join(told, "__link", "left").withColumn("__valid", F.col("__own") == F.col("__context"))
+    one = lambda c: F.max(F.when(F.col("__valid"), F.col(c))).alias(c)
+    foreign = F.coalesce(F.sum(F.when(~F.col("__valid"), F.col("__n"))), F.lit(0)).alias("foreign")
+    got = met.groupBy(row_id, "__value").agg(one("__lo"), one("__hi"), foreign)
+    known = F.col("__value").isNotNull() & (F.col("__value") != unknown)
+    lo, hi = F.col("__lo"), F.col("__hi")
+    state = F.when(known & (lo.isNull() | ((lo == F.col("__value")) & (hi == F.col("__value")))), "PRESERVED").when(known, "CONFLICT").when(lo.isNull(), "NO_EVIDENCE").when(lo == hi, "RESOLVED").otherwise("EVIDENCE_CONFLICT")
+    return got.select(row_id, F.when(~known & (lo == hi), lo).when(known, F.col("__value")).otherwise(unknown).alias(value), state.alias("state"), "foreign")

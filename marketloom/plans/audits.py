@@ -342,3 +342,56 @@ def observation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = one.join(times.withColumnsRenamed({"run_id": "r", "raw_record_id": "i"}), F.col("run_id").eqNullSafe(F.col("r")) & F.col("raw_record_id").eqNullSafe(F.col("i")))
     fault = ledgers.observation_fault(*[F.col(c) for c in ("observation_id", "raw_record_id", "observation_sequence", "prematch_eligible", "source", "times")])
     return met.groupBy("run_id", fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "evidence_periods",
+    """WITH e AS (SELECT unnest(period_evidence_candidates) AS c FROM headerless_rows), k AS (SELECT c.raw_record_id AS raw_record_id, coalesce(c.run_id, '') AS r, coalesce(c.event_id, '') AS v, coalesce(c.source_hash, '') AS h,
+      CASE c.evidence_period WHEN 'FT' THEN 'FULL_TIME' WHEN 'P1' THEN '1ST_HALF' WHEN 'P2' THEN '2ND_HALF' WHEN 'FULL_TIME' THEN 'FULL_TIME' WHEN '1ST_HALF' THEN '1ST_HALF' WHEN '2ND_HALF' THEN '2ND_HALF' END AS p FROM e),
+    o AS (SELECT obs_id, raw_record_id, CASE WHEN obs_id % 2 = 0 THEN period END AS period, coalesce(run_id, '') AS r, coalesce(event_id, '') AS v, coalesce(source_hash, '') AS h FROM headerless_rows),
+    m AS (SELECT o.obs_id, any_value(o.period) AS own, MIN(k.p) FILTER (k.r = o.r AND k.v = o.v AND k.h = o.h) AS lo, MAX(k.p) FILTER (k.r = o.r AND k.v = o.v AND k.h = o.h) AS hi, COUNT(k.p) FILTER (NOT (k.r = o.r AND k.v = o.v AND k.h = o.h)) AS other FROM o LEFT JOIN k ON k.raw_record_id = o.raw_record_id AND k.p IS NOT NULL GROUP BY o.obs_id)
+    SELECT obs_id, CASE WHEN coalesce(own, 'UNKNOWN') <> 'UNKNOWN' THEN own WHEN lo = hi THEN lo ELSE 'UNKNOWN' END AS period, CASE WHEN coalesce(own, 'UNKNOWN') <> 'UNKNOWN' THEN CASE WHEN lo IS NULL OR (lo = own AND hi = own) THEN 'PRESERVED' ELSE 'CONFLICT' END
+      WHEN lo IS NULL THEN 'NO_EVIDENCE' WHEN lo = hi THEN 'RESOLVED' ELSE 'EVIDENCE_CONFLICT' END AS state, other AS "foreign" FROM m""",
+)
+def evidence_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown periods told by the evidence in the raw rows of the same run, event and source."""
+    table_rows = table(spark, sf_dir, "headerless_rows")
+    rows = table_rows.select("obs_id", "raw_record_id", F.when(F.col("obs_id") % 2 == 0, F.col("period")).alias("period"), "run_id", "event_id", "source_hash")
+    # The periods that evidence names.
+    named = {"FT": "FULL_TIME", "P1": "1ST_HALF", "P2": "2ND_HALF", "FULL_TIME": "FULL_TIME", "1ST_HALF": "1ST_HALF", "2ND_HALF": "2ND_HALF"}
+    told = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    found = table_rows.select(F.explode("period_evidence_candidates").alias("c")).select("c.raw_record_id", "c.run_id", "c.event_id", "c.source_hash", F.try_element_at(told, F.col("c.evidence_period")).alias("period"))
+    return keyed.resolved_by_evidence(rows, found, "obs_id", "raw_record_id", "period", ["run_id", "event_id", "source_hash"], "UNKNOWN")
+
+
+@query(
+    "axis_lines",
+    "WITH @offers, a AS (SELECT event_id, period, family, line, CASE WHEN handicap_kind <> '' THEN printf('%g', CASE WHEN selection = 'AWAY' THEN -CAST(line AS DOUBLE) ELSE CAST(line AS DOUBLE) END) ELSE line END AS axis_line, selection, odds FROM offers) SELECT event_id, period, family, axis_line, COUNT(DISTINCT selection) AS sides, COUNT(*) AS n, MAX(odds) AS best FROM a GROUP BY event_id, period, family, axis_line",
+)
+def axis_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handicap lines on the home side's axis: an away line is its inverse."""
+    from marketloom.functions.text import general_number
+
+    line = F.col("line").try_cast("double")
+    signed = general_number(F.when(F.col("selection") == "AWAY", -line).otherwise(line))
+    rows = _offers(spark, sf_dir).withColumn("axis_line", F.when(F.col("handicap_kind") != "", signed).otherwise(F.col("line")))
+    return rows.groupBy("event_id", "period", "family", "axis_line").agg(F.count_distinct("selection").alias("sides"), F.count("*").alias("n"), F.max("odds").alias("best"))
+
+
+@query(
+    "sidecar_states",
+    "SELECT DISTINCT run_id, 'altered' AS state FROM snapshot_observations WHERE run_id LIKE '%7' UNION ALL SELECT DISTINCT run_id, 'missing' FROM snapshot_observations WHERE run_id LIKE '%3'",
+)
+def sidecar_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose observations, written as lines and read again, no longer give the manifest that they gave."""
+    from marketloom.operators import manifests
+    from marketloom.session import shared_folder
+    from marketloom.sources import lines
+
+    rows = table(spark, sf_dir, "snapshot_observations").select("run_id", "observation_id", "observation_sequence", "observed_at", "disposition", F.col("raw_observation.raw").alias("raw"))
+    print_of = lambda df: manifests.run_manifests(manifests.fingerprinted(df, ["disposition", "raw"], ["observation_id", "observation_sequence", "observed_at"]), "run_id", "observation_sequence")
+    path = shared_folder(spark, "sidecars")
+    changed = rows.where("run_id not like '%3'").withColumn("raw", F.when(F.col("run_id").like("%7"), F.concat(F.coalesce("raw", F.lit("")), F.lit("!"))).otherwise(F.col("raw")))
+    lines.write_json_lines(changed, path)
+    read, _ = lines.read_json_lines(spark, path, rows.schema)
+    return manifests.altered(print_of(rows), print_of(read), "run_id")

@@ -92,3 +92,13 @@ def test_chains_of_any_length_and_cycles(spark):
     got = {r["row"]: r for r in keyed.chain_ends(spark.createDataFrame(rows, "i int, b int"), "i", "b").collect()}
     assert all(got[i]["root"] == 0 and got[i]["steps"] == i and not got[i]["cyclic"] for i in range(300))
     assert got[1_000]["cyclic"] and got[1_002]["cyclic"] and not got[2_000]["cyclic"] and got[2_000]["root"] == 2_000
+
+
+def test_values_told_by_evidence(spark):
+    rows = spark.createDataFrame([(1, "a", None, "r"), (2, "a", "FT", "r"), (3, "b", None, "r"), (4, "c", "H1", "r"), (5, None, None, "r"), (6, "d", "UNKNOWN", None), (7, "a", None, "q")], "i int, link string, p string, run string")
+    told = spark.createDataFrame([("a", "FT", "r"), ("a", "FT", "r"), ("a", "H1", "x"), ("b", "FT", "r"), ("b", "H1", "r"), ("c", "FT", "r"), ("d", "H1", None), ("d", None, None), (None, "FT", "r"), ("d", "UNKNOWN", None)], "link string, p string, run string")
+    got = {r["i"]: (r["p"], r["state"], r["foreign"]) for r in keyed.resolved_by_evidence(rows, told, "i", "link", "p", ["run"], "UNKNOWN").collect()}
+    assert got == {
+        1: ("FT", "RESOLVED", 1), 2: ("FT", "PRESERVED", 1), 3: ("UNKNOWN", "EVIDENCE_CONFLICT", 0), 4: ("H1", "CONFLICT", 0), 5: ("UNKNOWN", "NO_EVIDENCE", 0), 6: ("H1", "RESOLVED", 0), 7: ("UNKNOWN", "NO_EVIDENCE", 3),
+    }
+    assert keyed.resolved_by_evidence(rows.where("false"), told, "i", "link", "p", ["run"], "UNKNOWN").count() == 0

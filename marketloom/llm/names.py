@@ -258,7 +258,7 @@ def _shortens(short: str, long: str) -> bool:
     return len(short) >= 3 and short[0] == long[0] and all(c in rest for c in short[1:])
 
 
-def token_cost(a: str, b: str, lexicon: Lexicon | None = None) -> float:
+def token_cost(a: str, b: str, lexicon: Lexicon | None = None, shorts: bool = True) -> float:
     """0 for alike, up to 1 for unlike tokens: initials, short forms and single edits cost little."""
     if a == b:
         return 0.0
@@ -274,15 +274,16 @@ def token_cost(a: str, b: str, lexicon: Lexicon | None = None) -> float:
     if len(short) >= 4 and osa(short, long, 1) <= 1:
         return 0.3
     # A short form that no list has; of words that the lists have it would be another name.
-    return SHORT_FORM if short not in known and long not in known and _shortens(short, long) else 1.0
+    return SHORT_FORM if shorts and short not in known and long not in known and _shortens(short, long) else 1.0
 
 
-def alignment(a: list[str], b: list[str], lexicon: Lexicon | None = None) -> float:
-    """Least mean cost of assigning each token of the shorter name to another one of the longer."""
+def alignment(a: list[str], b: list[str], lexicon: Lexicon | None = None, shorts: bool = True) -> float:
+    """Least mean cost of assigning each token of the shorter name to another one of the longer. shorts: whether a token may be a
+    short form that no list has."""
     few, many = sorted((a, b), key=len)
     if not few:
         return 1.0
-    costs = [[token_cost(x, y, lexicon) for y in many] for x in few]
+    costs = [[token_cost(x, y, lexicon, shorts) for y in many] for x in few]
     if len(few) == 1:
         return min(costs[0])
     # Shortest augmenting paths with potentials; row and column 0 stand for none.
@@ -447,23 +448,25 @@ def _parents(nodes: DataFrame, size: int, forms: DataFrame, lexicon: Lexicon) ->
     block_of = lambda c: F.concat(F.lit("player:"), folded(F.substring(c, 1, 1)))
     own = ["node", "rest", "support", F.concat_ws(" ", "core", "with", "rest").alias("name")]
     free = F.col("block").startswith("player:") & ~F.col("with").endswith(".") & (F.col("with") != "?") & ~listed("with")
-    views = nodes.select(*own, "block", "with", "core", F.explode(F.filter(F.concat(F.array("core"), F.split("rest", " ")), lambda t: t != "")).alias("word"))
-    views = materialize(views.unionByName(nodes.where(free).select(*own, block_of("core").alias("block"), F.col("core").alias("with"), F.col("with").alias("core"), F.col("with").alias("word"))).distinct())
+    views = nodes.select(*own, F.lit(False).alias("swapped"), "block", "with", "core", F.explode(F.filter(F.concat(F.array("core"), F.split("rest", " ")), lambda t: t != "")).alias("word"))
+    views = materialize(views.unionByName(nodes.where(free).select(*own, F.lit(True).alias("swapped"), block_of("core").alias("block"), F.col("core").alias("with"), F.col("with").alias("core"), F.col("with").alias("word"))).distinct())
     words = views.select("block", "word").distinct()
     near = near_pairs(words, words, "word", "block", two_from=NO_TWO)
-    sides = lambda name: views.select("block", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "with", "core", "rest", "name", "support", "word")])
+    sides = lambda name: views.select("block", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "with", "core", "rest", "name", "support", "swapped", "word")])
     met = near.select("block", F.col("a").alias("a_word"), F.col("b").alias("b_word")).join(sides("a"), ["block", "a_word"]).join(sides("b"), ["block", "b_word"])
     met = met.where("a_node <> b_node").drop("a_word", "b_word").distinct()
 
     def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = zip(frame["a_with"], frame["a_core"], frame["a_rest"], frame["b_with"], frame["b_core"], frame["b_rest"], strict=True)
+            rows = list(zip(frame["a_with"], frame["a_core"], frame["a_rest"], frame["b_with"], frame["b_core"], frame["b_rest"], strict=True))
             both = [([x for x in (aw, ac, *ar.split()) if x], [x for x in (bw, bc, *br.split()) if x]) for aw, ac, ar, bw, bc, br in rows]
-            frame["cost"] = [alignment(x, y, lexicon) for x, y in both]
+            # People shorten given names: a short form counts only beside the same family name, and not if both are read backwards.
+            same = [not (a and b) and (ac == bc or (len(ac) >= 4 and len(bc) >= 4 and osa(ac, bc, 1) <= 1)) for (_, ac, _, _, bc, _), a, b in zip(rows, frame["a_swapped"], frame["b_swapped"], strict=True)]
+            frame["cost"] = [alignment(x, y, lexicon, s) for (x, y), s in zip(both, same, strict=True)]
             # All tokens of the shorter name together: less than one unlike token.
             yield frame[[c * min(len(x), len(y)) <= MOST_COST for c, (x, y) in zip(frame["cost"], both, strict=True)]]
 
-    schema = ", ".join(f"{s}_{c}" for s in "ab" for c in ("node bigint", "with string", "core string", "rest string", "name string", "support bigint")) + ", cost double"
+    schema = ", ".join(f"{s}_{c}" for s in "ab" for c in ("node bigint", "with string", "core string", "rest string", "name string", "support bigint", "swapped boolean")) + ", cost double"
     fits = materialize(met.select(*[c.split()[0] for c in schema.split(", ")[:-1]]).mapInPandas(aligned, schema))
     initial = lambda c: F.col(c).endswith(".")
     stronger = (F.col("b_support") > F.col("a_support")) | ((F.col("b_support") == F.col("a_support")) & (F.col("b_name") < F.col("a_name")))

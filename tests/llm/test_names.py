@@ -149,3 +149,8 @@ def test_small_tables_joined_by_shuffle_as_by_broadcast(spark, monkeypatch):
     want = classes(spark, rows)
     monkeypatch.setattr(names, "BROADCAST_ROWS", 0)
     assert classes(spark, rows) == want and len(set(want.values())) == 2
+
+
+def test_family_names_are_not_short_forms(spark):
+    got = classes(spark, [(i, f"run{i}", [n], True) for i, n in enumerate(["Ousmane Barelak", "Ousmane Barelakowski", "Zinedine Belkadi", "Zinedine Bekai"] * 3)])
+    assert got[0] != got[1] and got[2] != got[3] and got[0] == got[4] == got[8]

@@ -2,7 +2,7 @@
 
 A state is a text; a step encodes it with one code page and decodes the bytes with another, or unescapes it.
 The cost of a text is how implausible its characters are where they stand, given the languages that the corpus is written
-in, as a bounded sample of it tells; a text that is wholly of another known language is plausible too. The search always
+in, as all of its documents tell; a text that is wholly of another known language is plausible too. The search always
 goes on from the cheapest text reached and never visits one twice. The whole text is tried first; what that leaves
 implausible is searched sentence by sentence, and at last run by run. Plausible texts are told by one
 expression inside the JVM and never reach Python.
@@ -27,13 +27,13 @@ ALPHABETS = {
     "ro": "ăâîșț", "sv": "åäö", "da": "åæø", "tr": "çğıöşüİ", "hr": "čćđšž", "lt": "ąčęėįšųūž", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "el": "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ",
 }
 MARKS = "¡–—„”“’‘…€«»"
-#: Languages that count as the corpus's own where no corpus was looked at; least share of the documents of a bounded
-#: sample that makes a language one of the corpus's own, and the size of the sample.
-HOME, HOME_SHARE, SAMPLE_DOCS = ("pl", "de", "es"), 0.01, 5_000
+#: Languages that count as the corpus's own where no corpus was looked at; least share of the documents that makes a
+#: language one of the corpus's own.
+HOME, HOME_SHARE = ("pl", "de", "es"), 0.01
 #: Letters of one foreign language that a text must hold, different ones, to be taken as written in it; what such a text costs:
 #: less than a step, so that none is taken from it.
 COHERENT, FOREIGN = 3, 0.2
-#: Fewest documents of a sample that make a language one of the corpus's own.
+#: Fewest documents that make a language one of the corpus's own.
 LEAST_DOCS = 10
 _RARE = set("âêîôûàèùçëïãõøÂÊÎÔÛÀÈÙÇËÏÃÕØ")
 _VOWELS = "aeiouáéíóúAEIOUÁÉÍÓÚ"
@@ -86,38 +86,29 @@ DEFAULT = Profile()
 
 
 def profile_of(docs: DataFrame, text: str) -> Profile:
-    """The languages of a corpus, from a sample bounded by ``SAMPLE_DOCS``: those that at least ``HOME_SHARE`` of the sample's
-    documents with letters beside ASCII (and ``LEAST_DOCS``) are wholly written in, and no other fits. Without such a language
-    the default.
+    """The languages of a corpus, counted over all of its documents: those that at least ``HOME_SHARE`` of the documents that
+    tell a language (and ``LEAST_DOCS``) are wholly written in. A document tells the one language whose alphabet holds all of
+    its letters beside ASCII, where these are ``COHERENT`` different ones or more. Without such a language the default.
 
-    The sample is the documents with the least hashes, so that neither order nor place has a part in it. Garbled documents
-    hold letters of no one language and do not count.
+    Garbled documents hold letters of no one language, or signs inside words, and do not count. All of it is one expression
+    inside the JVM, and only a count for each language reaches the driver.
     """
-    hashed = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    sample = hashed.orderBy("h").limit(SAMPLE_DOCS)
-
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alphabets = {name: set(letters + letters.upper()) for name, letters in ALPHABETS.items()}
-        for frame in frames:
-            out = []
-            for t in frame["t"]:
-                high = set(_HIGH.findall(t))
-                fits = [name for name, a in alphabets.items() if high <= a] if len(high) >= COHERENT and not any(_is_faulty(t, m.start()) for m in _SIGNS.finditer(t)) else []
-                out.append(fits[0] if len(fits) == 1 else None)
-            yield pd.DataFrame({"lang": out})
-
-    counts = {r["lang"]: r["count"] for r in sample.select("t").mapInPandas(told, "lang string").where("lang is not null").groupBy("lang").count().collect()}
+    sound = docs.where(F.col(text).rlike(r"[^\x00-\x7f]") & ~F.col(text).rlike(_FAULTY))
+    # The arrays of generators are barriers: letters are found once, not for each language.
+    high = sound.select(F.explode(F.array(F.array_distinct(F.split(F.regexp_replace(text, _NO_HIGH, ""), "")))).alias("high"))
+    high = high.where(F.size("high") >= COHERENT).select(F.explode(F.array(F.array_join("high", ""))).alias("high"))
+    alphabets = {name: "".join(sorted(set(letters + letters.upper()))) for name, letters in ALPHABETS.items()}
+    fits = F.array_compact(F.array(*(F.when(F.col("high").rlike(f"^[{letters}]*$"), name) for name, letters in alphabets.items())))
+    told = high.select(F.explode(F.array(fits)).alias("fits")).where(F.size("fits") == 1).select(F.get("fits", F.lit(0)).alias("lang"))
+    counts = {r["lang"]: r["count"] for r in told.groupBy("lang").count().collect()}
     total = sum(counts.values())
     home = tuple(name for name in ALPHABETS if counts.get(name, 0) >= max(LEAST_DOCS, HOME_SHARE * total))
     return Profile(home) if home else DEFAULT
 
 
-_SIGNS = re.compile(r"[^\w\s\x21-\x7e]")
-
-
-def _is_faulty(text: str, at: int) -> bool:
-    """Whether a sign stands inside a word."""
-    return text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha() and text[at] not in "’–—"
+#: A sign inside a word, looked at only where a sign is; what is no letter (or letter-like number) beside ASCII.
+_FAULTY = r"(?=[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}\x21-\x7e’–—])(?<=\p{L})(?s:.)\p{L}"
+_NO_HIGH = r"[\x00-\x7f]+|[^\p{L}\p{No}\p{Nl}]+"
 
 
 @lru_cache(maxsize=32)
@@ -312,7 +303,7 @@ def restored_texts(docs: DataFrame, doc_id: str, text: str, profile: Profile | N
 
     Null, empty and plausible texts give no row. A text is garbled if some decoding step makes it more
     plausible, or if it holds the replacement character. Repeated rows give repeated rows. What is plausible depends on the
-    languages of the corpus, which a bounded sample of it tells (``profile_of``).
+    languages of the corpus, which all of its documents tell (``profile_of``).
     """
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
     profile = profile or profile_of(rows, "body")

@@ -110,3 +110,24 @@ def test_runs_are_judged_where_they_stand():
 def test_profile_of_an_empty_or_plain_corpus(spark):
     for rows in ([], [("abc",), (None,), ("",)]):
         assert profile_of(spark.createDataFrame(rows, "text string"), "text").home == DEFAULT.home
+
+
+def test_languages_are_counted_over_all_documents(spark):
+    """A language of two in a hundred documents, all of them with greater hashes than the first five thousand others."""
+    rows = [(i, f"{DE} {i}") for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bound = df.selectExpr("xxhash64(text) AS h").orderBy("h").collect()[5_000]["h"]
+    czech = spark.createDataFrame([(10_000 + i, f"{FOREIGN['cs']} {i}") for i in range(2_000)], "doc_id bigint, text string")
+    late = [tuple(r) for r in czech.where(f"xxhash64(text) > {bound}").orderBy("doc_id").limit(120).collect()]
+    garbled = sloppy(FOREIGN["cs"].encode("cp1250"), "cp1252")
+    assert len(late) == 120
+    df = spark.createDataFrame([*rows, *late, (1, garbled)], "doc_id bigint, text string")
+    assert profile_of(df, "text").home == ("de", "cs")
+    assert [(r["doc_id"], r["restored"]) for r in restored_texts(df, "doc_id", "text").collect()] == [(1, FOREIGN["cs"])]
+
+
+def test_languages_are_told_by_whole_sound_documents(spark):
+    sound = ["Größe, Übung, Höhe, weiß"] * 10
+    other = ["Größe, Übung, Höhe 😀weiß w😀eiß", "Größe kůň žluť", "äö äö", "½ Größe, Übung, Höhe", None, ""]
+    assert profile_of(spark.createDataFrame([(t,) for t in sound], "text string"), "text").home == ("de",)
+    assert profile_of(spark.createDataFrame([(t,) for t in sound[1:] + other], "text string"), "text").home == DEFAULT.home

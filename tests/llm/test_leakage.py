@@ -78,3 +78,21 @@ def test_joined_by_shuffle_as_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MOST_NAMES", 0)
     got = leaks(spark, docs)
     assert {k for k, v in got.items() if v[0]} == {k for k, v in want.items() if v[0]} == {(1, 1)} and got[2, 1] == (False, True)
+
+
+def test_names_beyond_a_task_are_placeholders_too(spark, monkeypatch):
+    """Names of one item in another's place, in any case, behind numbers, in repeated rows and ids, in long texts: the same by join as in a task."""
+    other = "Another one asks whether Zumowatadan, Grażyna and Óscar met captain Brul behind the gate of Motor after 7 Kroner were paid in vain"
+    swapped = ITEM.replace("Giuseppe Zumowatadan", "grażyna ÓSCAR").replace("7209", "11")
+    docs = [
+        (1, "Intro. " + ITEM), (2, swapped), (2, "another text of this id, " + other.replace("Brul", "motor").replace("7 Kroner", "9 Motor")), (2, swapped), (3, "z 5 Motor x " * 20_000 + swapped),
+        (4, ITEM.replace("Giuseppe", "Nobody")), (5, None), (6, ""), (7, "Motor"), (None, swapped), (8, "no such word here " * 10), (9, ITEM.replace("Giuseppe Zumowatadan", "Brul Brul")),
+    ]
+    items = [(1, ITEM), (2, other), (2, other), (3, None), (None, ITEM)]
+    want = leaks(spark, docs, items)
+    assert want[2, 1] == want[3, 1] == (False, True) and want[1, 1] == (True, True) and want[9, 1] == (True, False) and (2, 2) in want
+    monkeypatch.setattr(leakage, "MOST_NAMES", 3)
+    assert leaks(spark, docs, items) == want
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_DOCS", 0)
+    assert leaks(spark, docs, items) == want
